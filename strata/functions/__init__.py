@@ -165,11 +165,14 @@ def matrix_band(cells: Sequence[tuple[Column, str]], default=None) -> Column:
 
 
 # ---------------------------------------------------------------- P19 - P25
-def pct(num: ColumnOrName, den: ColumnOrName, digits: int = 2, scale: float = 100.0,
+def pct(num: ColumnOrName, den: ColumnOrName, digits: int | None = 2, scale: float = 100.0,
         zero_value=None) -> Column:
-    """``round(num / den * scale, digits)``; zero or NULL denominator → ``zero_value``."""
+    """``round(num / den * scale, digits)``; zero or NULL denominator → ``zero_value``.
+
+    ``digits=None`` keeps full precision (useful when exact ties matter).
+    """
     q = F.try_divide(col(num).cast("double"), col(den).cast("double")) * F.lit(scale)
-    r = F.round(q, digits)
+    r = F.round(q, digits) if digits is not None else q
     return r if zero_value is None else F.coalesce(r, F.lit(zero_value))
 
 
