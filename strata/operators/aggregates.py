@@ -143,32 +143,40 @@ def value_counts(df: DataFrame, c: str, name: str = "n") -> DataFrame:
     return df.groupBy(c).agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), F.asc(c))
 
 
+def best_of(key: str, metric: str, worst: bool = False) -> Column:
+    """A23 aggregate: the key with the highest (lowest) metric; ties → smallest key."""
+    m = F.col(metric)
+    order = F.struct(m, F.col(key)) if worst else F.struct(-m, F.col(key))
+    return F.min_by(F.when(m.isNotNull(), F.col(key)), F.when(m.isNotNull(), order))
+
+
 def arg_best(df: DataFrame, key: str, metric: str, worst: bool = False) -> DataFrame:
     """The entity with the highest (or lowest) metric, tie → smallest key.
 
-    ``max_by`` / ``min_by`` over a struct tiebreak — one partial aggregate.
+    ``min_by`` over a struct tie-break — one partial aggregate, no sort.
     """
-    m = F.col(metric)
-    if worst:
-        pick = F.min_by(F.col(key), F.struct(m, F.col(key)))
-        val = F.min(m)
-    else:
-        # highest metric, ties to the smallest key: order by (metric, -key)
-        pick = F.min_by(F.col(key), F.struct(-m, F.col(key)))
-        val = F.max(m)
-    return df.filter(m.isNotNull()).agg(pick.alias(key), val.alias(metric))
+    val = F.min(metric) if worst else F.max(metric)
+    return df.agg(best_of(key, metric, worst).alias(key), val.alias(metric))
 
 
-def profile(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:
+def profile(df: DataFrame, cols: Sequence[str], digits: int = 4,
+            scales: Mapping[str, int] | None = None) -> DataFrame:
     """Count / mean / stddev / min / max per column, as rows.
 
     One wide aggregate (single pass), then ``stack`` turns it into rows.
+    Columns listed in ``scales`` (decimals carried by the data) get an exact,
+    order-independent mean; other means are plain ``avg``.  Standard
+    deviations are rounded to ``digits``.
     """
+    from strata.functions import exact_avg
+
+    scales = dict(scales or {})
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
+        mean = exact_avg(x, scales[c]) if c in scales else F.avg(x)
         aggs += [F.count(x).cast("double").alias(f"{c}__count"),
-                 F.round(F.avg(x), digits).alias(f"{c}__mean"),
+                 mean.alias(f"{c}__mean"),
                  F.round(F.stddev(x), digits).alias(f"{c}__stddev"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
@@ -194,3 +202,12 @@ def kpi_cards(frames: Sequence[tuple[DataFrame, Mapping[str, Column]]]) -> DataF
 
 def ratio(num: Column, den: Column) -> Column:
     return safe_div(num, den)
+
+
+def worst_label(c, order: Sequence[str]) -> Column:
+    """A20 (ordinal form): the worst label in a group, ``order`` listing worst
+    first.  Unknown labels are ignored; the reference's ``max`` of the text is
+    ``F.max(c)``."""
+    arr = F.array(*[F.lit(x) for x in order])
+    pos = F.nullif(F.array_position(arr, col(c)), F.lit(0))
+    return F.element_at(arr, F.min(pos).cast("int"))
