@@ -63,17 +63,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting must point at shared storage and is set by the
     deployment.  Only when it is unset (local tests) do we create a scratch
-    folder, and we register it on the context so ``DataFrame.checkpoint()``
-    works.
+    folder; it is registered on the context so ``DataFrame.checkpoint()``
+    and streaming checkpoints use it.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
-        cur = tempfile.mkdtemp(prefix="strata-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
+        cur = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not cur:
+        global _LOCAL_CKPT
+        if _LOCAL_CKPT is None:
+            _LOCAL_CKPT = tempfile.mkdtemp(prefix="strata-ckpt-")
+        cur = _LOCAL_CKPT
+        try:
+            spark.conf.set("spark.checkpoint.dir", cur)
+        except Exception:  # noqa: BLE001 — static conf on some deployments
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(cur)
     return cur
 
 
+_LOCAL_CKPT: str | None = None
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
