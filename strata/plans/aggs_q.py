@@ -83,7 +83,8 @@ SQL_NATION_REVENUE = f"""
 WITH li AS ({SQL_LINEITEM_LATEST}),
 nr AS (
   SELECT n.n_name, c.c_mktsegment,
-         CAST(sum({sql_net_units('li.l_extendedprice', 'li.l_discount')}) AS DOUBLE) / CAST(10000 AS DOUBLE) AS revenue
+         CAST(sum({sql_net_units('li.l_extendedprice', 'li.l_discount')}) AS DOUBLE) / CAST(10000 AS DOUBLE) AS revenue,
+         sum({sql_net_units('li.l_extendedprice', 'li.l_discount')}) AS revenue_units
   FROM li JOIN orders o ON li.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -100,28 +101,33 @@ def nation_segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey))
     return kpi(j, ["n_name", "c_mktsegment"], {
-        "revenue": F.sum(net_units("l_extendedprice", "l_discount")) / F.lit(10000.0)})
+        "revenue": F.sum(net_units("l_extendedprice", "l_discount")) / F.lit(10000.0),
+        "revenue_units": F.sum(net_units("l_extendedprice", "l_discount"))})
+
+
+def nation_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-nation revenue re-aggregated from exact units (order-independent)."""
+    nr = nation_segment_revenue(spark, sf_dir)
+    return nr.groupBy("n_name").agg((F.sum("revenue_units") / F.lit(10000.0)).alias("revenue"))
 
 
 @query("nation_revenue_share", "A13 W10 J7", SQL_NATION_REVENUE + """
-, t AS (SELECT n_name, sum(revenue) AS revenue FROM nr GROUP BY n_name)
+, t AS (SELECT n_name, CAST(sum(revenue_units) AS DOUBLE) / CAST(10000 AS DOUBLE) AS revenue FROM nr GROUP BY n_name)
 SELECT n_name, round(revenue, 2) AS revenue,
        round(revenue / (SELECT sum(revenue) FROM t) * 100, 2) AS share_pct FROM t
 """)
 def nation_revenue_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nr = nation_segment_revenue(spark, sf_dir)
-    # re-aggregate exactly: the nation revenue is a sum of exact 1/10000 units
-    t = nr.groupBy("n_name").agg(F.sum("revenue").alias("revenue"))
-    return share_of_total(t, "revenue").withColumn("revenue", F.round("revenue", 2))
+    return share_of_total(nation_revenue(spark, sf_dir), "revenue").withColumn("revenue", F.round("revenue", 2))
 
 
 @query("segment_share_in_nation", "A14 J5", SQL_NATION_REVENUE + """
 SELECT n_name, c_mktsegment, revenue,
        round(revenue / sum(revenue) OVER (PARTITION BY n_name) * 100, 2) AS group_share_pct
-FROM nr
+FROM (SELECT n_name, c_mktsegment, revenue FROM nr)
 """)
 def segment_share_in_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return share_of_group(nation_segment_revenue(spark, sf_dir), ["n_name"], "revenue")
+    nr = nation_segment_revenue(spark, sf_dir).drop("revenue_units")
+    return share_of_group(nr, ["n_name"], "revenue")
 
 
 @query("customer_dimension", "A15", """
@@ -186,13 +192,13 @@ def distinct_customers_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query("best_and_worst_nation", "A23", SQL_NATION_REVENUE + """
-, t AS (SELECT n_name, sum(revenue) AS revenue FROM nr GROUP BY n_name)
+, t AS (SELECT n_name, CAST(sum(revenue_units) AS DOUBLE) / CAST(10000 AS DOUBLE) AS revenue FROM nr GROUP BY n_name)
 SELECT b.n_name AS best_nation, b.revenue AS best_revenue, w.n_name AS worst_nation, w.revenue AS worst_revenue
 FROM (SELECT * FROM t ORDER BY revenue DESC, n_name LIMIT 1) b,
      (SELECT * FROM t ORDER BY revenue ASC, n_name LIMIT 1) w
 """)
 def best_and_worst_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = nation_segment_revenue(spark, sf_dir).groupBy("n_name").agg(F.sum("revenue").alias("revenue"))
+    t = nation_revenue(spark, sf_dir)
     # best and worst in one aggregate pass (no join of the two single rows)
     return t.agg(best_of("n_name", "revenue").alias("best_nation"), F.max("revenue").alias("best_revenue"),
                  best_of("n_name", "revenue", worst=True).alias("worst_nation"),
