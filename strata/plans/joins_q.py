@@ -288,3 +288,49 @@ FROM events
 def event_props_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
     return parse_events(e, "props", ["k"]).drop("props")
+
+
+@query("orders_projection_pass_through", "P1 P2 P3 S20", """
+SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total_price, o_orderpriority AS priority
+FROM orders
+""")
+def orders_projection_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.operators.quality import drop, project, rename
+    from strata.sources import pass_through
+
+    o = pass_through(table(spark, sf_dir, "orders"))  # layer timestamp added ...
+    o = drop(o, ["silver_timestamp", "o_orderstatus"])  # ... and dropped (run-dependent)
+    o = rename(o, {"o_orderkey": "order_id", "o_custkey": "customer_id"})
+    return project(o, {"order_id": "order_id", "customer_id": "customer_id", "o_totalprice": "total_price",
+                       "o_orderpriority": "priority"})
+
+
+ORDERS_CSV_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+                     "o_orderdate string, o_orderpriority string")
+
+
+@query("orders_csv_roundtrip", "S1 S2 S17 S8", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority
+FROM orders
+""")
+def orders_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as CSV (a Spark write into the checkpoint folder), then
+    ingested with a declared schema, dates parsed after the read, and
+    malformed rows dropped."""
+    from strata.sources import read_csv, write_path
+    from strata.streaming import _scratch
+
+    path = _scratch(spark, "landing-orders-csv")
+    o = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    o.write.mode("overwrite").option("header", True).csv(path)
+    return read_csv(spark, path, ORDERS_CSV_SCHEMA, date_cols={"o_orderdate": "yyyy-MM-dd"}, on_bad="drop")
+
+
+@query("orders_compacted", "S11 S5 S8", "SELECT * FROM orders")
+def orders_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compaction rewrites the table into at most 4 files sorted by order date;
+    the row set must not change."""
+    from strata.sources import compact
+    from strata.streaming import _scratch
+
+    return compact(table(spark, sf_dir, "orders"), _scratch(spark, "compact-orders"), 4, ["o_orderdate"])
