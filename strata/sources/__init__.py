@@ -51,13 +51,13 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType
 
 
 def bronze_stamp(df: DataFrame, batch_id: str | None = None, file_col: str | None = "source_file",
-                 ts_col: str = "ingestion_timestamp") -> DataFrame:
+                 ts_col: str = "ingestion_timestamp", batch_col: str = "batch_id") -> DataFrame:
     """S3: ingestion time, source file (``_metadata.file_path``) and batch id."""
     new: dict[str, Column] = {ts_col: F.current_timestamp()}
     if file_col:
         new[file_col] = F.col("_metadata.file_path")
     if batch_id is not None:
-        new["batch_id"] = F.lit(batch_id)
+        new[batch_col] = F.lit(batch_id)
     return df.withColumns(new)
 
 
