@@ -39,7 +39,7 @@ class Package:
     date_cols: Mapping[str, Mapping[str, str | None]] = field(default_factory=dict)
 
 
-PACKAGES = ["manufacturing"]
+PACKAGES = ["manufacturing", "retail", "energy", "financial"]
 
 
 def get(name: str) -> Package:
