@@ -39,7 +39,7 @@ class Package:
     date_cols: Mapping[str, Mapping[str, str | None]] = field(default_factory=dict)
 
 
-PACKAGES = ["manufacturing", "retail", "energy", "financial"]
+PACKAGES = ["manufacturing", "retail", "energy", "financial", "healthcare", "hospitality"]
 
 
 def get(name: str) -> Package:

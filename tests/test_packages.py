@@ -188,6 +188,86 @@ def test_financial_package(spark):
     assert (v.total_transactions, v.total_volume, v.avg_transaction_value) == (2, 6020.0, 3010.0)
 
 
+HEALTHCARE = {
+    "staff_catalog": """
+staff_id,role,department,shift,hire_date
+st1,Nurse,ICU,Day,2019-01-01
+""",
+    "patient_admissions": """
+patient_id,admission_id,department,admission_type,admission_date,discharge_date,length_of_stay_days,primary_dx_code,insurance_type,is_readmission,age_group,prior_admissions,assigned_staff_id
+pa1,ad1,ICU,Emergency,2024-01-01 03:00:00,2024-01-02 03:00:00,1,I21,NHS,false,65+,0,st1
+pa2,ad2,Cardiology,Elective,2024-01-01 10:00:00,2024-01-11 10:00:00,10,I50,Private,true,45-64,2,st1
+pa3,ad3,Cardiology,Elective,2024-01-01 20:00:00,2024-01-01 22:00:00,0,I50,Private,false,45-64,0,st1
+pa4,ad4,Cardiology,Elective,2024-01-02 20:00:00,,-1,I50,Private,false,45-64,0,st1
+""",
+    "clinical_records": """
+record_id,admission_id,patient_id,department,recorded_at,vital_type,value,recorded_by
+v1,ad1,pa1,ICU,2024-01-01 04:00:00,Heart Rate,130,st1
+v2,ad1,pa1,ICU,2024-01-01 05:00:00,Temperature,37.0,st1
+v3,ad1,pa1,ICU,2024-01-01 06:00:00,O2 Saturation,92,st1
+v4,ad1,pa1,ICU,2024-01-01 07:00:00,Heart Rate,,st1
+""",
+}
+
+
+def test_healthcare_package(spark):
+    out = run_package(spark, get("healthcare"), _land(HEALTHCARE))
+    a = {r.admission_id: r for r in out["silver"]["patient_admissions"].collect()}
+    assert sorted(a) == ["ad1", "ad2", "ad3"]                          # negative stay dropped
+    assert (a["ad1"].los_bucket, a["ad1"].admission_shift, a["ad1"].high_risk_flag) == ("1-2 Days", "Night", True)
+    assert (a["ad2"].los_bucket, a["ad2"].high_risk_flag) == ("8-14 Days", True)
+    assert (a["ad3"].los_bucket, a["ad3"].high_risk_flag, a["ad3"].admission_shift) == ("Same Day", False, "Evening")
+    v = {r.record_id: r.is_abnormal for r in out["silver"]["clinical_records"].collect()}
+    assert v == {"v1": True, "v2": False, "v3": True}
+    card = {r.department: r for r in out["gold"]["gold_department_scorecard"].collect()}
+    assert card["ICU"].readmission_rate == 0.0 and card["Cardiology"].readmission_rate == 50.0
+    assert card["ICU"].performance_rank == 1 and card["Cardiology"].performance_rank == 2
+    ex = out["views"]["vw_executive_summary"].collect()[0]
+    assert (ex.total_admissions, ex.overall_readmission_rate, ex.overall_avg_los) == (3, 33.33, 3.67)
+
+
+HOSPITALITY = {
+    "properties": """
+property_id,property_name,city,country,property_type,star_rating,room_count
+h1, Grand ,Paris,fr,Hotel,5,10
+h2,Inn,Lyon,FR,Inn,3,0
+""",
+    "guests": """
+guest_id,loyalty_tier,region,age_group,nationality,total_stays,total_spend,preferred_channel,signup_date
+g1,Gold,EU,35-44,FR,3,1000,web,2020-01-01
+g2,Silver,EU,25-34,DE,1,100,ota,2021-01-01
+""",
+    "bookings": """
+booking_id,property_id,guest_id,check_in_date,check_out_date,nights,room_type,channel,meal_plan,room_rate,total_amount,status,lead_time_days,is_refundable,is_cancelled,loyalty_tier
+b1,h1,g1,2024-01-01,2024-01-03,2,Suite,web,BB,450,900,completed,10,1,0,Gold
+b2,h1,g1,2024-01-05,2024-01-06,1,Double,web,BB,150,150,completed,5,1,0,Gold
+b3,h1,g2,2024-01-05,2024-01-06,1,Double,ota,RO,99,99,cancelled,1,0,1,Silver
+b4,h2,g2,2024-01-05,2024-01-07,2,Double,ota,RO,100,200,completed,1,0,0,Silver
+""",
+    "reviews": """
+review_id,booking_id,property_id,guest_id,review_date,overall_score,cleanliness_score,service_score,value_score,food_score,sentiment,platform
+r1,b1,h1,g1,2024-01-04,9.0,9,8,7,8,positive,web
+r2,b2,h1,g1,2024-01-07,8.0,8,8,8,8,positive,web
+""",
+}
+
+
+def test_hospitality_package(spark):
+    out = run_package(spark, get("hospitality"), _land(HOSPITALITY))
+    b = {r.booking_id: r for r in out["silver"]["bookings"].collect()}
+    assert (b["b1"].length_of_stay, b["b1"].adr_band, b["b1"].revenue) == (2, "Luxury", 900.0)
+    assert (b["b3"].adr_band, b["b3"].revenue, b["b3"].is_cancelled) == ("Budget", 0.0, 1)
+    props = {r.property_id: (r.property_name, r.country) for r in out["silver"]["properties"].collect()}
+    assert props["h1"] == ("Grand", "FR")
+    card = {r.property_id: r for r in out["gold"]["gold_property_scorecards"].collect()}
+    assert (card["h1"].total_bookings, card["h1"].revpar, card["h1"].performance_band) == (2, 105.0, "Excellent")
+    assert card["h2"].revpar is None and card["h2"].performance_band == "Critical"   # zero rooms, no reviews
+    assert (card["h1"].revpar_rank, card["h2"].revpar_rank) == (1, 2)
+    assert card["h1"].repeat_guest_pct == 100.0
+    loyal = {r.loyalty_tier: r for r in out["views"]["vw_loyalty_analysis"].collect()}
+    assert (loyal["Gold"].unique_guests, loyal["Gold"].revenue_per_guest) == (1, 1050.0)
+
+
 @pytest.mark.parametrize("name", PACKAGES)
 def test_package_declares_layers(name):
     pkg = get(name)
