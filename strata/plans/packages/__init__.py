@@ -39,7 +39,8 @@ class Package:
     date_cols: Mapping[str, Mapping[str, str | None]] = field(default_factory=dict)
 
 
-PACKAGES = ["manufacturing", "retail", "energy", "financial", "healthcare", "hospitality"]
+PACKAGES = ["manufacturing", "retail", "energy", "financial", "healthcare", "hospitality", "construction",
+            "education"]
 
 
 def get(name: str) -> Package:

@@ -268,6 +268,90 @@ def test_hospitality_package(spark):
     assert (loyal["Gold"].unique_guests, loyal["Gold"].revenue_per_guest) == (1, 1050.0)
 
 
+CONSTRUCTION = {
+    "subcontractors": """
+subcontractor_id,company_name,trade,region,rating,years_active,accredited
+sc1,BuildCo,Electrical,N,4.6,10,Y
+""",
+    "projects": """
+project_id,project_name,project_type,region,status,budget,planned_start_date,planned_end_date,lead_subcontractor_id
+pr1,Tower,Commercial,N,In Progress,1000000,2024-01-01,2024-12-31,sc1
+pr2,Bridge,Civil,N,Completed,500000,2024-01-01,2024-06-30,sc1
+pr3,Depot,Civil,S,Planned,100000,2024-03-01,2024-04-01,sc1
+""",
+    "tasks": """
+task_id,project_id,task_name,assigned_subcontractor_id,planned_start_date,planned_end_date,actual_start_date,forecast_end_date,schedule_variance_days,status,pct_complete,planned_duration_days,is_delayed
+t1,pr1,Frame,sc1,2024-01-01,2024-03-01,2024-01-05,2024-05-15,75,In Progress,40,60,1
+t2,pr1,Wiring,sc1,2024-02-01,2024-04-01,2024-02-01,2024-04-01,0,Completed,100,60,0
+t3,pr2,Deck,sc1,2024-01-01,2024-03-01,2024-01-01,2024-03-20,20,Completed,100,60,1
+""",
+    "cost_ledger": """
+cost_id,project_id,entry_date,cost_category,supplier,planned_cost,actual_cost,cost_variance,cost_variance_pct,approved
+c1,pr1,2024-01-10,Labour,Acme,1000,1100,100,10,Y
+c2,pr2,2024-01-10,Material,Acme,1000,1150,150,15,Y
+""",
+}
+
+
+def test_construction_package(spark):
+    out = run_package(spark, get("construction"), _land(CONSTRUCTION))
+    pr = {r.project_id: r for r in out["silver"]["projects"].collect()}
+    assert (pr["pr1"].schedule_variance_days, pr["pr1"].schedule_risk_band, pr["pr1"].cost_risk_band) == \
+        (75, "Critical", "Over Budget")
+    assert (pr["pr2"].schedule_risk_band, pr["pr2"].cost_variance_pct, pr["pr2"].cost_risk_band) == \
+        ("Medium", 15.0, "High")
+    assert (pr["pr3"].schedule_risk_band, pr["pr3"].cost_risk_band) == ("On Track", "On Budget")
+    port = {r.project_id: r for r in out["gold"]["gold_portfolio_scorecards"].collect()}
+    # worst of the two bands: a Critical schedule is never hidden by a milder cost band
+    assert port["pr1"].performance_band == "Critical"
+    assert port["pr2"].performance_band == "Needs Attention"
+    assert port["pr3"].performance_band == "Excellent" and port["pr3"].total_tasks is None
+    assert {r.project_id for r in out["gold"]["gold_overrun_alerts"].collect()} == {"pr1", "pr2"}
+    risk = {r.project_id: r.forecast_end_date for r in out["views"]["vw_schedule_risk"].collect()}
+    assert str(risk["pr1"]) == "2024-05-15"
+
+
+EDUCATION = {
+    "students": """
+student_id,programme,department,level,cohort_year,enrolment_date,status,gender,region,age_at_enrolment
+s1,CS,Eng,UG,2023,2023-09-01,Active,F,N,18
+s2,CS,Eng,UG,2023,2023-09-01,Withdrawn,M,N,19
+s3,CS,Eng,UG,2023,2023-09-01,Active,M,S,18
+""",
+    "faculty": """
+faculty_id,department,role,years_at_institution,courses_assigned,research_active,hire_date
+f1,Eng,Lecturer,5,4,Y,2019-01-01
+f2,Eng,Professor,10,0,Y,2014-01-01
+""",
+    "enrolments": """
+enrolment_id,student_id,course_id,department,level,credits,enrolment_date,status,is_completed,is_withdrawn,age_at_enrolment
+e1,s1,c1,Eng,UG,15,2023-09-01,Completed,1,0,18
+e2,s2,c1,Eng,UG,15,2023-09-01,Withdrawn,0,1,19
+""",
+    "assessments": """
+assessment_id,enrolment_id,student_id,course_id,department,assessment_type,attempt_number,submitted_date,score,grade,is_pass,word_count
+a1,e1,s1,c1,Eng,Exam,1,2023-12-30,72,A,1,0
+a2,e1,s1,c1,Eng,Essay,2,2024-01-02,38,F,0,2000
+a3,e2,s2,c1,Eng,Exam,1,2023-12-30,,F,0,0
+""",
+}
+
+
+def test_education_package(spark):
+    out = run_package(spark, get("education"), _land(EDUCATION))
+    a = {r.assessment_id: r for r in out["silver"]["assessments"].collect()}
+    assert (a["a1"].grade_band, a["a2"].grade_band, a["a2"].is_resit, a["a3"].grade_band) == \
+        ("Distinction", "Fail", 1, "Unknown")
+    cards = {r.student_id: r for r in out["gold"]["gold_student_scorecards"].collect()}
+    assert (cards["s1"].avg_score, cards["s1"].pass_rate, cards["s1"].retention_risk) == (55.0, 50.0, "Medium")
+    assert cards["s2"].retention_risk == "High"
+    assert (cards["s3"].retention_risk, cards["s3"].performance_band) == ("Unknown", "Unknown")   # no assessments
+    wl = {r.faculty_id: r.students_per_course for r in out["gold"]["gold_faculty_workload"].collect()}
+    assert wl == {"f1": 0.5, "f2": None}
+    co = out["gold"]["gold_cohort_outcomes"].collect()[0]
+    assert (co.total_students, co.withdrawn_students, co.retention_rate) == (3, 1, 66.67)
+
+
 @pytest.mark.parametrize("name", PACKAGES)
 def test_package_declares_layers(name):
     pkg = get(name)
