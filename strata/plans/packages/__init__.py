@@ -40,7 +40,7 @@ class Package:
 
 
 PACKAGES = ["manufacturing", "retail", "energy", "financial", "healthcare", "hospitality", "construction",
-            "education"]
+            "education", "media", "technology"]
 
 
 def get(name: str) -> Package:

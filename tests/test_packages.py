@@ -352,6 +352,95 @@ def test_education_package(spark):
     assert (co.total_students, co.withdrawn_students, co.retention_rate) == (3, 1, 66.67)
 
 
+MEDIA = {
+    "content_catalog": """
+content_id,title,genre,content_type,release_year,duration_mins,production_cost_bucket,language
+m1, Alpha ,Drama,Film,2020,100,High,EN
+m2,Beta,Drama,Film,2021,50,Low,EN
+""",
+    "subscribers": """
+subscriber_id,plan_type,region,age_group,payment_method,monthly_fee,signup_date,churn_date,is_churned
+u1,Premium,EU,25-34,card,20.0,2024-01-01,2024-02-15,1
+u2,Standard,EU,25-34,card,10.0,2024-01-01,,0
+u3,Basic,EU,25-34,card,5.0,2023-01-01,,0
+""",
+    "viewing_history": """
+view_id,subscriber_id,content_id,view_date,view_hour,watch_duration_mins,is_completed,device_type,rating
+v1,u1,m1,2024-01-02,20,90,1,tv,5
+v2,u2,m1,2024-01-03,20,30,0,tv,
+v3,u2,m2,2024-01-03,21,10,0,phone,3
+""",
+    "ad_impressions": """
+impression_id,content_id,ad_date,ad_type,impressions,clicks,revenue_usd,cpm
+a1,m1,2024-01-02,pre-roll,1000,40,2.5,2.5
+a2,m2,2024-01-02,pre-roll,1000,10,1.0,1.0
+""",
+}
+
+
+def test_media_package(spark, monkeypatch):
+    from strata.plans.packages import media
+
+    monkeypatch.setattr(media, "AS_OF", "2024-03-01")
+    out = run_package(spark, get("media"), _land(MEDIA))
+    subs = {r.subscriber_id: r for r in out["silver"]["subscribers"].collect()}
+    assert (subs["u1"].tenure_days, subs["u1"].tenure_bucket, subs["u1"].plan_tier) == (45, "0-3 months", "High")
+    assert (subs["u2"].churn_date, subs["u2"].tenure_days) == (None, 60)         # blank optional date → NULL
+    assert (subs["u3"].tenure_bucket, subs["u3"].plan_tier) == ("1-2 years", "Low")
+    views = {r.view_id: r for r in out["silver"]["viewing_history"].collect()}
+    assert (views["v1"].completion_pct, views["v1"].engagement_band) == (90.0, "Completed")
+    assert views["v2"].rating is None and views["v3"].engagement_band == "Sampled"
+    perf = {r.content_id: r for r in out["gold"]["gold_content_performance"].collect()}
+    assert (perf["m1"].avg_rating, perf["m1"].rank_in_genre, perf["m2"].rank_in_genre) == (5.0, 1, 2)
+    ads = {r.ctr_band: r for r in out["gold"]["gold_ad_revenue"].collect()}
+    assert set(ads) == {"High (≥3%)", "Low (<1.5%)"}
+    card = {r.plan_type: r for r in out["gold"]["gold_subscriber_scorecards"].collect()}
+    assert (card["Premium"].churn_rate, card["Premium"].arpu, card["Premium"].health_band) == (100.0, None, "Critical")
+
+
+TECHNOLOGY = {
+    "accounts": """
+account_id,plan,mrr_usd,industry,region,signup_date,churn_date,is_churned,seat_count,health_score
+ac1,Enterprise,1000,Fin,EU,2023-01-01,,0,50,40
+ac2,Growth,100,Retail,US,2023-01-01,2023-07-01,1,5,30
+""",
+    "users": """
+user_id,account_id,role,is_active,last_login_date,signup_date,logins_last_30_days
+us1,ac1,admin,1,2024-01-01,2023-01-01,25
+us2,ac1,user,0,2023-06-01,2023-01-01,0
+""",
+    "events": """
+event_id,user_id,account_id,event_date,feature,action,session_id,duration_secs
+e1,us1,ac1,2024-01-03,Dashboard,view,s1,30
+e2,us1,ac1,2024-01-04,API,call,s2,10
+e3,us2,ac1,2024-01-04,Billing,view,s3,20
+""",
+    "support_tickets": """
+ticket_id,account_id,created_at,resolved_at,category,priority,resolution_hrs,sla_target_hrs,is_sla_breached,csat_score
+k1,ac1,2024-01-01 00:00:00,2024-01-01 01:00:00,Bug,High,1,4,0,5
+k2,ac1,2024-01-02 00:00:00,2024-01-05 00:00:00,Bug,High,72,4,1,2
+""",
+}
+
+
+def test_technology_package(spark, monkeypatch):
+    from strata.plans.packages import technology
+
+    monkeypatch.setattr(technology, "AS_OF", "2024-01-31")
+    out = run_package(spark, get("technology"), _land(TECHNOLOGY))
+    acc = {r.account_id: r for r in out["silver"]["accounts"].collect()}
+    assert (acc["ac1"].plan_tier, acc["ac1"].churn_risk_flag, acc["ac1"].days_as_customer) == (4, 1, 395)
+    assert (acc["ac2"].plan_tier, acc["ac2"].churn_risk_flag, acc["ac2"].days_as_customer) == (2, 0, 181)
+    ev = {r.event_id: r.feature_category for r in out["silver"]["events"].collect()}
+    assert ev == {"e1": "Analytics", "e2": "Platform", "e3": "Administration"}
+    tk = {r.ticket_id: r.response_band for r in out["silver"]["support_tickets"].collect()}
+    assert tk == {"k1": "Same-Day", "k2": "This-Week"}
+    share = {r.feature: r.user_share_pct for r in out["gold"]["gold_feature_adoption"].collect()}
+    assert share == {"Dashboard": 33.33, "API": 33.33, "Billing": 33.33}
+    cards = {r.account_id: r for r in out["gold"]["gold_account_scorecards"].collect()}
+    assert (cards["ac1"].total_tickets, cards["ac1"].features_used, cards["ac2"].total_events) == (2, 3, None)
+
+
 @pytest.mark.parametrize("name", PACKAGES)
 def test_package_declares_layers(name):
     pkg = get(name)
