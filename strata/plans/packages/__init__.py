@@ -40,7 +40,7 @@ class Package:
 
 
 PACKAGES = ["manufacturing", "retail", "energy", "financial", "healthcare", "hospitality", "construction",
-            "education", "media", "technology"]
+            "education", "media", "technology", "professional", "transportation"]
 
 
 def get(name: str) -> Package:

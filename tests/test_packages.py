@@ -441,6 +441,85 @@ def test_technology_package(spark, monkeypatch):
     assert (cards["ac1"].total_tickets, cards["ac1"].features_used, cards["ac2"].total_events) == (2, 3, None)
 
 
+PROFESSIONAL = {
+    "clients": """
+client_id,client_name,industry,region,tier,contract_value_gbp,relationship_years,nps_score
+cl1,Acme,Tech,UK,Gold,900,5,60
+cl2,Beta,Retail,UK,Silver,100,2,-10
+""",
+    "consultants": """
+consultant_id,grade,practice,region,daily_rate_gbp,years_experience,is_billable,hire_date
+k1,Analyst,Data,UK,500,2,1,2022-01-01
+k2,Partner,Data,UK,2000,20,1,2004-01-01
+""",
+    "engagements": """
+engagement_id,client_id,lead_consultant_id,practice,start_date,planned_end_date,budget_gbp,actual_spend_gbp,margin_pct,status,headcount,planned_duration_days,is_over_budget
+en1,cl1,k2,Data,2024-01-01,2024-03-01,100,120,-5,At Risk,3,60,1
+en2,cl1,k1,Data,2024-01-01,2024-02-01,100,90,25,On Track,2,31,0
+""",
+    "timesheets": """
+timesheet_id,consultant_id,engagement_id,week_starting,task_type,hours_logged,is_billable,daily_rate_gbp,billed_value_gbp
+ts1,k1,en1,2024-01-01,Build,30,1,500,1875
+ts2,k1,en2,2024-01-01,Admin,10,0,500,0
+""",
+}
+
+
+def test_professional_package(spark):
+    out = run_package(spark, get("professional"), _land(PROFESSIONAL))
+    cli = {r.client_id: r for r in out["silver"]["clients"].collect()}
+    assert (cli["cl1"].concentration_pct, cli["cl1"].client_concentration_flag, cli["cl1"].nps_band) == \
+        (90.0, 1, "Promoter")
+    assert cli["cl2"].nps_band == "Detractor"
+    eng = {r.engagement_id: r for r in out["silver"]["engagements"].collect()}
+    assert (eng["en1"].margin_band, eng["en1"].delivery_health_flag, eng["en1"].overrun_pct) == \
+        ("Loss-Making (<0%)", 1, 20.0)
+    ts = {r.timesheet_id: r.billable_utilisation_rate for r in out["silver"]["timesheets"].collect()}
+    assert ts == {"ts1": 75.0, "ts2": 0.0}
+    util = out["gold"]["gold_consultant_utilisation"].collect()[0]
+    assert (util.total_hours_logged, util.billable_hours, util.utilisation_rate_pct) == (40.0, 30.0, 75.0)
+    rev = {r.client_id: r for r in out["gold"]["gold_client_revenue"].collect()}
+    assert (rev["cl1"].total_engagements, rev["cl2"].total_engagements) == (2, None)
+
+
+TRANSPORTATION = {
+    "vehicles": """
+vehicle_id,vehicle_type,depot,capacity_tonnes,year_registered,status,driver_id
+v1,Truck,North,20,2015,Active,d1
+v2,Van,North,0,2020,Inactive,d2
+""",
+    "routes": """
+route_id,origin,destination,distance_km,route_type,sla_hours,toll_cost_gbp
+r1,Leeds,York,40,Regional,2,5
+""",
+    "deliveries": """
+delivery_id,vehicle_id,route_id,planned_departure,actual_arrival,planned_duration_hrs,actual_duration_hrs,delay_hrs,distance_km,load_tonnes,status,is_late
+d1,v1,r1,2024-01-01 08:00:00,2024-01-01 10:00:00,2,2,0,40,10,Delivered,0
+d2,v1,r1,2024-01-02 08:00:00,2024-01-02 13:00:00,2,5,3,40,15,Delivered,1
+d3,v2,r1,2024-01-02 09:00:00,2024-01-02 15:00:00,2,6,4.5,60,1,Delivered,1
+""",
+    "fuel_logs": """
+log_id,vehicle_id,log_date,depot,odometer_km,litres_filled,cost_per_litre,total_cost_gbp,fuel_type
+f1,v1,2024-01-03,North,10000,20,1.5,30,Diesel
+""",
+}
+
+
+def test_transportation_package(spark):
+    out = run_package(spark, get("transportation"), _land(TRANSPORTATION))
+    d = {r.delivery_id: r for r in out["silver"]["deliveries"].collect()}
+    assert (d["d1"].delay_band, d["d1"].load_utilisation_pct) == ("On Time", 50.0)
+    assert (d["d2"].delay_band, d["d3"].delay_band, d["d3"].load_utilisation_pct) == \
+        ("Moderate (1–4 h)", "Severe (>4 h)", None)
+    fl = out["silver"]["fuel_logs"].collect()[0]
+    assert (fl.fuel_efficiency_km_per_litre, fl.cost_check) == (2.0, 1.5)
+    fleet = {r.vehicle_id: r.on_time_rate_pct for r in out["gold"]["gold_fleet_summary"].collect()}
+    assert fleet == {"v1": 50.0, "v2": 0.0}
+    assert {r.delivery_id for r in out["gold"]["gold_late_delivery_alerts"].collect()} == {"d2", "d3"}
+    ex = out["views"]["vw_executive_summary"].collect()[0]
+    assert (ex.total_deliveries, ex.avg_on_time_rate_pct, ex.avg_delay_hrs) == (3, 33.3, 2.5)
+
+
 @pytest.mark.parametrize("name", PACKAGES)
 def test_package_declares_layers(name):
     pkg = get(name)
