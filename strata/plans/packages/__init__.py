@@ -74,3 +74,20 @@ def run_package(spark: SparkSession, pkg: Package, landing: str, batch_id: str =
         df.createOrReplaceTempView(f"{p}silver_{t}")
     layers["views"] = {v: create_view(spark, f"{p}{v}", sql.format(p=p)) for v, sql in pkg.views.items()}
     return layers
+
+
+def stream_queries(pkg: Package, df: DataFrame, k: int = 20) -> Tables:
+    """The package's real-time queries (T3–T8) from its stream configuration,
+    on a batch or streaming ``df`` of the configured table."""
+    from strata.streaming import group_signal, latest_n, sigma_outliers, store_count, tumbling_avg, tumbling_count
+
+    c = pkg.stream
+    ts, sig, grp = c["time"], c["signal"], c["group"]
+    return {
+        "records_per_minute": tumbling_count(df, ts, "1 minute"),
+        "signal_avg_5min": tumbling_avg(df, ts, sig, "5 minutes", scale=None),
+        "signal_by_group": group_signal(df, grp, sig, k, scale=None),
+        "three_sigma_outliers": sigma_outliers(df, grp, sig, 3.0),
+        "latest_100": latest_n(df, ts, 100),
+        "row_count": store_count(df),
+    }

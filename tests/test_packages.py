@@ -44,7 +44,13 @@ b3,L2,widget,2025-01-06 16:30:00,2025-01-07 00:30:00,200,190,10,0,m2,0
 
 
 def test_manufacturing_package(spark):
+    from strata.plans.packages import stream_queries
+
     out = run_package(spark, get("manufacturing"), _land(MANUFACTURING))
+    rt = stream_queries(get("manufacturing"), out["silver"]["sensor_readings"])
+    assert rt["row_count"].collect()[0].row_count == 5
+    assert rt["signal_by_group"].collect()[0].machine_id == "m1"
+    assert rt["records_per_minute"].count() == 5
     silver, gold = out["silver"], out["gold"]
     s = {r.reading_id: r for r in silver["sensor_readings"].collect()}
     assert sorted(s) == ["r1", "r2", "r3", "r4", "r5"]          # dedupe, bad time, out of range
