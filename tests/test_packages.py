@@ -531,3 +531,40 @@ def test_package_declares_layers(name):
     pkg = get(name)
     assert pkg.sources and pkg.keys
     assert set(pkg.keys) <= set(pkg.sources)
+
+
+def _financial_many(n=400):
+    import random
+
+    rnd = random.Random(42)
+    rows = ["transaction_id,account_id,customer_id,transaction_date,transaction_type,merchant_category,amount,"
+            "is_flagged_fraud,channel,country"]
+    for i in range(n):
+        night = rnd.random() < 0.3
+        amount = round(rnd.uniform(5, 9000), 2)
+        fraud = (night and amount > 4000) or rnd.random() < 0.03
+        hour = rnd.choice([1, 2, 23]) if night else rnd.randint(8, 20)
+        rows.append(f"x{i},a1,c1,2024-01-{1 + i % 28:02d} {hour:02d}:00:00,purchase,"
+                    f"{rnd.choice(['travel', 'grocery', 'tech'])},{amount},{str(fraud).lower()},"
+                    f"{rnd.choice(['online', 'store'])},{rnd.choice(['UK', 'FR'])}")
+    files = dict(FINANCIAL)
+    files["transactions"] = "\n".join(rows)
+    return files
+
+
+def test_package_model_lifecycle(spark):
+    from strata.plans.packages.modeling import SPECS, run_ml
+
+    out = run_package(spark, get("financial"), _land(_financial_many()))
+    res = run_ml(spark, SPECS["financial"], out["silver"])
+    guard = res["gold_ml_label_guard"].collect()[0]
+    assert guard.rows == 400 and guard.passed is True
+    mets = {r.model: r for r in res["gold_ml_model_metrics"].collect()}
+    assert set(mets) == {"random_forest", "gbt"} and all(0.5 <= m.auc <= 1.0 for m in mets.values())
+    preds = res["gold_ml_predictions"]
+    assert preds.count() == 400
+    assert {r.risk_level for r in preds.select("risk_level").distinct().collect()} <= {"critical", "high", "medium", "low"}
+    summ = res["gold_ml_summary"].collect()
+    assert sum(r.total for r in summ) == 400
+    imp = res["gold_ml_feature_importance"].collect()
+    assert abs(sum(r.importance_norm for r in imp) - 1.0) < 1e-9
