@@ -15,8 +15,9 @@ def spark():
 
     # tests run without a cluster: give them their own checkpoint folder
     ck = tempfile.mkdtemp(prefix="strata-test-ckpt-")
+    wh = tempfile.mkdtemp(prefix="strata-test-warehouse-")
     s = get_session("local[4]", shuffle_partitions=4, app_name="strata-tests",
-                    extra={"spark.checkpoint.dir": ck})
+                    extra={"spark.checkpoint.dir": ck, "spark.sql.warehouse.dir": wh})
     yield s
     s.stop()
 
