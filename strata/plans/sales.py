@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import exact_avg, net_units, pct, units
+from strata.functions import net_units, pct, units
 from strata.operators.aggregates import kpi
 from strata.operators.joins import star
 from strata.operators.ordering import top_k
 from strata.operators.quality import positive
 from strata.operators.windows import latest_by, trend
-from strata.plans.catalog import SQL_LINEITEM_LATEST, query, sql_exact_avg, sql_net_units, sql_units, table
+from strata.plans.catalog import SQL_LINEITEM_LATEST, query, sql_net_units, sql_units, table
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 
@@ -157,5 +157,3 @@ def top_parts_by_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
     return top.join(part, "l_partkey", "left")
 
-
-__all__ = ["daily_sales", "enriched_lines", "silver_lineitem", "SQL_ENRICHED", "exact_avg", "sql_exact_avg"]

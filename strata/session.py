@@ -70,6 +70,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not cur:
         cur = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not cur:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                               "(checkpoints, stream state and intermediate layers are written there)")
         global _LOCAL_CKPT
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="strata-ckpt-")
