@@ -80,25 +80,32 @@ def demand_features(lines: DataFrame, product: str, date_col: str, qty: str, pri
 
 
 # ------------------------------------------------------------------ encoding / split
-def fit_ordinal_encoder(df: DataFrame, cats: Sequence[str]):
-    """M7: deterministic ordinal encoding (values sorted ascending)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer
-
-    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
-                            handleInvalid="keep") for c in cats]
-    return Pipeline(stages=stages).fit(df)
-
-
-def ordinal_encode(df: DataFrame, cats: Sequence[str], model=None) -> DataFrame:
-    """M7: ``{c}_idx`` = position of the value in the sorted distinct values;
-    unseen (or NULL) values → −1.  Reuse ``model`` at scoring time."""
-    m = model or fit_ordinal_encoder(df, cats)
-    out = m.transform(df)
-    for c, st in zip(cats, m.stages):
-        n = len(st.labels)
-        out = out.withColumn(f"{c}_idx", F.when(F.col(f"{c}_idx") >= n, F.lit(-1))
-                             .otherwise(F.col(f"{c}_idx")).cast("int"))
+def fit_ordinal_map(df: DataFrame, c: str) -> DataFrame:
+    """M7 fit: ``(value, index)`` for the sorted distinct values of ``c``.
+
+    The mapping is a DataFrame built by the distributed dense rank, so a
+    high-cardinality column never passes through the driver (unlike an
+    indexer whose label array is collected).  Persist it (write a table) to
+    reuse the same encoding at scoring time.
+    """
+    from strata.operators.windows import ranked
+
+    vals = df.select(F.col(c).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    return ranked(vals, ["value"], (), False, "dense_rank", "__r").select(
+        "value", (F.col("__r") - 1).cast("int").alias("index"))
+
+
+def ordinal_encode(df: DataFrame, cats: Sequence[str], maps: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """M7: ``{c}_idx`` = position of the value among the sorted distinct
+    values; unseen (or NULL) values → −1.  Pass the fitted ``maps`` (from
+    ``fit_ordinal_map``) at scoring time; by default they are fitted on ``df``."""
+    out = df
+    for c in cats:
+        m = (maps or {}).get(c)
+        m = m if m is not None else fit_ordinal_map(df, c)
+        m = m.select(F.col("value").alias(f"__v_{c}"), F.col("index").alias(f"{c}_idx"))
+        out = out.join(m, out[c] == m[f"__v_{c}"], "left").drop(f"__v_{c}")
+        out = out.withColumn(f"{c}_idx", F.coalesce(F.col(f"{c}_idx"), F.lit(-1)))
     return out
 
 
@@ -116,6 +123,8 @@ def _pipeline(numeric: Sequence[str], categorical: Sequence[str], estimator):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
+    # categorical features must have bounded cardinality: each indexer's
+    # label array (one entry per distinct value) is part of the fitted model
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
                          stringOrderType="alphabetAsc") for c in categorical]
     vec = VectorAssembler(inputCols=list(numeric) + [f"{c}__idx" for c in categorical],

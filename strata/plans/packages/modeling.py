@@ -77,9 +77,9 @@ SPECS: dict[str, MLSpec] = {
                           ["room_type", "channel", "meal_plan"], lambda: F.col("is_cancelled"), ["channel"],
                           rf=(100, 10)),
     "construction": MLSpec("tasks", "task_id", "had_delay", ["pct_complete", "planned_duration_days"],
-                           ["task_name", "subcontractor_id"], lambda: F.col("is_delayed"), ["project_id"]),
+                           ["task_name"], lambda: F.col("is_delayed"), ["project_id"]),
     "education": MLSpec("enrolments", "enrolment_id", "had_dropout", ["credits", "age_at_enrolment"],
-                        ["department", "level", "course_id"], lambda: F.col("is_withdrawn"), ["department"]),
+                        ["department", "level"], lambda: F.col("is_withdrawn"), ["department"]),
     "energy": MLSpec("grid_sensors", "entity_day", "had_outage",
                      ["reading_count", "avg_voltage_v", "std_voltage_v", "avg_frequency_hz", "avg_load_mw",
                       "max_load_mw", "avg_temperature_c", "voltage_anomalies"], [], None, ["substation_id"],
@@ -92,7 +92,7 @@ SPECS: dict[str, MLSpec] = {
     "technology": MLSpec("accounts", "account_id", "had_churn", ["mrr_usd", "seat_count", "health_score"],
                          ["plan", "industry", "region"], lambda: F.col("is_churned"), ["plan"]),
     "transportation": MLSpec("deliveries", "delivery_id", "had_late",
-                             ["distance_km", "load_tonnes", "planned_duration_hrs"], ["vehicle_id", "route_id"],
+                             ["distance_km", "load_tonnes", "planned_duration_hrs", "load_utilisation_pct"], [],
                              lambda: F.col("is_late"), ["route_id"], rf=(100, 10)),
     "retail": MLSpec("pos_transactions", "row_key", "daily_quantity",
                      ["avg_price", "lines", "day_of_week", "day_of_month", "month", "is_weekend",
