@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import exact_sum, net_units, units, week_start
-from strata.operators.aggregates import (arg_best, avg_if, best_of, count_if, dimension, kpi, kpi_cards,
-                                         profile, rate, rollup_twice, series, share_of_group,
+from strata.functions import exact_sum, net_units, units
+from strata.operators.aggregates import (best_of, count_if, dimension, kpi, kpi_cards,
+                                         profile, rollup_twice, series, share_of_group,
                                          share_of_total, spread, sum_if, summary, value_counts,
                                          weekly_start, worst_label)
 from strata.plans.catalog import SQL_LINEITEM_LATEST, query, sql_net_units, sql_units, table

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import net_units, units
+from strata.functions import units
 from strata.operators.aggregates import kpi
 from strata.operators.joins import (edges, enrich, enrich_as, label_from_events, orphans, scorecard,
                                     with_group_stats)
-from strata.plans.catalog import SQL_LINEITEM_LATEST, query, sql_net_units, sql_units, table
+from strata.plans.catalog import query, sql_net_units, sql_units, table
 from strata.sources import (audit_counts, bronze_stamp, capped_load, cast_by_spec, create_view, infer_types,
                             parse_events, read_path, run_spec_query, string_widths)
 
@@ -317,7 +317,7 @@ def orders_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders landed as CSV (a Spark write into the checkpoint folder), then
     ingested with a declared schema, dates parsed after the read, and
     malformed rows dropped."""
-    from strata.sources import read_csv, write_path
+    from strata.sources import read_csv
     from strata.streaming import _scratch
 
     path = _scratch(spark, "landing-orders-csv")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import net_units, units
+from strata.functions import net_units
 from strata.operators.aggregates import kpi
 from strata.operators.ordering import first_match, limit_rows, order_by_labels, top_share
 from strata.operators.windows import (dense_rank_by, drop_duplicates, lag_features, latest_by, rank_by,
