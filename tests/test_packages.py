@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.plans.packages import PACKAGES, get, run_package
 
@@ -568,3 +569,126 @@ def test_package_model_lifecycle(spark):
     assert sum(r.total for r in summ) == 400
     imp = res["gold_ml_feature_importance"].collect()
     assert abs(sum(r.importance_norm for r in imp) - 1.0) < 1e-9
+
+
+# ------------------------------------------------------------------ mirroring
+# DuckDB oracles for each package's headline, run over the typed, keyed
+# mirror tables (registered by their view names).
+MIRROR_ORACLES = {
+    "manufacturing": """
+        SELECT production_line, count(*) AS batches, sum(units_produced) AS units, sum(defect_count) AS defects,
+               round(sum(defect_count) * 100.0 / nullif(sum(units_produced), 0), 2) AS defect_rate_pct,
+               sum(downtime_minutes) AS downtime_min
+        FROM m_production_batches GROUP BY production_line""",
+    "retail": """
+        SELECT p.category, s.region, count(*) AS transactions,
+               round(sum(x.quantity * x.unit_price * (1 - x.discount_pct / 100)), 0) AS revenue
+        FROM m_pos_transactions x JOIN m_products p ON p.sku = x.product_id JOIN m_stores s USING (store_id)
+        GROUP BY p.category, s.region""",
+    "energy": """
+        SELECT region, severity, count(*) AS events, sum(affected_customers) AS customers_affected,
+               count(*) FILTER (WHERE resolved) AS resolved_events
+        FROM m_power_events GROUP BY region, severity""",
+    "financial": """
+        SELECT merchant_category, count(*) AS transactions, round(sum(amount), 0) AS total_amount,
+               count(*) FILTER (WHERE is_flagged_fraud) AS flagged_fraud
+        FROM m_transactions GROUP BY merchant_category""",
+    "healthcare": """
+        SELECT department, count(*) AS admissions, round(avg(length_of_stay_days::DOUBLE), 1) AS avg_los_days,
+               count(*) FILTER (WHERE is_readmission) AS readmissions
+        FROM m_patient_admissions GROUP BY department""",
+    "hospitality": """
+        SELECT p.property_name, p.city, count(*) AS bookings, sum(b.nights) AS room_nights,
+               round(sum(b.total_amount), 0) AS revenue, count(*) FILTER (WHERE b.is_cancelled) AS cancellations
+        FROM m_bookings b JOIN m_properties p USING (property_id) GROUP BY p.property_name, p.city""",
+    "construction": """
+        SELECT p.project_type, count(DISTINCT t.project_id) AS projects, count(*) AS tasks,
+               count(*) FILTER (WHERE t.is_delayed) AS delayed_tasks,
+               round(avg(t.schedule_variance_days::DOUBLE), 1) AS avg_schedule_var_days
+        FROM m_tasks t JOIN m_projects p USING (project_id) GROUP BY p.project_type""",
+    "education": """
+        SELECT department, count(*) AS enrolments, count(*) FILTER (WHERE is_completed) AS completed,
+               count(*) FILTER (WHERE is_withdrawn) AS withdrawn,
+               round((count(*) FILTER (WHERE is_withdrawn)) * 100.0 / nullif(count(*), 0), 2) AS withdrawal_rate_pct
+        FROM m_enrolments GROUP BY department""",
+    "media": """
+        SELECT c.genre, count(*) AS views, sum(v.watch_duration_mins) AS watch_minutes,
+               round((count(*) FILTER (WHERE v.is_completed)) * 100.0 / nullif(count(*), 0), 1) AS completion_rate_pct
+        FROM m_viewing_history v JOIN m_content_catalog c USING (content_id) GROUP BY c.genre""",
+    "technology": """
+        SELECT priority, count(*) AS tickets, round(avg(resolution_hrs), 1) AS avg_resolution_hrs,
+               count(*) FILTER (WHERE is_sla_breached) AS sla_breaches, round(avg(csat_score::DOUBLE), 2) AS avg_csat
+        FROM m_support_tickets GROUP BY priority""",
+    "professional": """
+        SELECT practice, count(*) AS engagements, round(avg(margin_pct), 1) AS avg_margin_pct,
+               count(*) FILTER (WHERE is_over_budget) AS over_budget, round(sum(actual_spend_gbp), 0) AS total_spend
+        FROM m_engagements GROUP BY practice""",
+    "transportation": """
+        SELECT r.origin, r.destination, count(*) AS deliveries, count(*) FILTER (WHERE d.is_late) AS late_deliveries,
+               round(avg(d.delay_hrs), 2) AS avg_delay_hrs
+        FROM m_deliveries d JOIN m_routes r USING (route_id) GROUP BY r.origin, r.destination""",
+}
+
+MIRROR_FIXTURES = {"manufacturing": MANUFACTURING, "retail": RETAIL, "energy": ENERGY, "financial": FINANCIAL,
+                   "healthcare": HEALTHCARE, "hospitality": HOSPITALITY, "construction": CONSTRUCTION,
+                   "education": EDUCATION, "media": MEDIA, "technology": TECHNOLOGY,
+                   "professional": PROFESSIONAL, "transportation": TRANSPORTATION}
+
+
+def _norm(rows):
+    out = []
+    for r in rows:
+        out.append(tuple(round(float(v), 6) if isinstance(v, (int, float)) or type(v).__name__ == "Decimal"
+                         else v for v in r))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("name", PACKAGES)
+def test_package_mirror(spark, name):
+    import duckdb
+
+    from strata.plans.packages.mirroring import MIRRORS, headline, live_change, load_mirror
+
+    pkg = get(name)
+    tables = load_mirror(spark, pkg, _land(MIRROR_FIXTURES[name]))
+    for t, df in tables.items():                      # one row per primary key
+        pk = MIRRORS[name].keys[t]
+        assert df.count() == df.select(*pk).distinct().count()
+    con = duckdb.connect()
+    for t, df in tables.items():
+        con.register(f"m_{t}", df.toArrow())
+    head = headline(pkg, tables)
+    got = head.collect()
+    want = con.execute(MIRROR_ORACLES[name]).fetchall()
+    assert [d[0] for d in con.description] == head.columns
+    assert got and _norm(got) == _norm(want)
+    # reporting order: the ordering column never increases
+    order_col = {"manufacturing": "defect_rate_pct", "retail": "revenue", "energy": "customers_affected",
+                 "financial": "total_amount", "healthcare": "admissions", "hospitality": "revenue",
+                 "construction": "delayed_tasks", "education": "withdrawal_rate_pct", "media": "watch_minutes",
+                 "technology": "sla_breaches", "professional": "avg_margin_pct",
+                 "transportation": "late_deliveries"}[name]
+    vals = [r[order_col] for r in got if r[order_col] is not None]
+    assert vals == sorted(vals, reverse=True)
+
+    # live change: exactly the target row's column differs afterwards
+    c = MIRRORS[name].change
+    after, diff = live_change(pkg, tables)
+    d = diff.collect()
+    assert len(d) == 1 and d[0]["diff"] == c.column
+    key = d[0][c.key]
+    old = tables[c.table].filter(F.col(c.key) == key).collect()[0][c.column]
+    new = after[c.table].filter(F.col(c.key) == key).collect()[0][c.column]
+    if c.kind == "flag":
+        assert new in (1, True) and old not in (1, True)
+        first = (tables[c.table].filter(F.col(c.column).isNull() | ~F.col(c.column).cast("boolean"))
+                 .agg(F.min(c.key)).collect()[0][0])
+        assert key == first
+    else:
+        assert float(new) == round(float(old) * c.factor + 1, 2)
+    assert after[c.table].count() == tables[c.table].count()
+    counted = {"energy": "resolved_events", "financial": "flagged_fraud", "hospitality": "cancellations",
+               "construction": "delayed_tasks", "education": "withdrawn", "professional": "over_budget",
+               "transportation": "late_deliveries"}.get(name)
+    if counted:                                       # the headline sees the change
+        assert sum(r[counted] for r in headline(pkg, after).collect()) == sum(r[counted] for r in got) + 1
