@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import units
+from strata.functions import exact_sum, units
 from strata.operators.aggregates import kpi
 from strata.operators.joins import (edges, enrich, enrich_as, label_from_events, orphans, scorecard,
                                     with_group_stats)
-from strata.plans.catalog import query, sql_net_units, sql_units, table
+from strata.plans.catalog import query, sql_exact_sum, sql_net_units, sql_units, table
 from strata.sources import (audit_counts, bronze_stamp, capped_load, cast_by_spec, create_view, infer_types,
                             parse_events, read_path, run_spec_query, string_widths)
 
@@ -90,6 +90,20 @@ def sql_view_urgent_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "SELECT * FROM (" + spec["sql"] + ") WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 
 
+@query("orders_status_from_named_table", "S4 A1", f"""
+SELECT o_orderstatus, count(*) AS orders, {sql_exact_sum('o_totalprice')} AS total_price
+FROM orders GROUP BY o_orderstatus
+""")
+def orders_status_from_named_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bronze layer is registered under a name and the next layer
+    reads it by that name, not by path (the plan is the same parquet scan)."""
+    from strata.sources import read_table
+
+    table(spark, sf_dir, "orders").createOrReplaceTempView("bronze_orders")
+    o = read_table(spark, "bronze_orders")
+    return kpi(o, ["o_orderstatus"], {"orders": F.count(F.lit(1)), "total_price": exact_sum("o_totalprice")})
+
+
 @query("customer_return_label", "J9 M5", """
 WITH r AS (SELECT DISTINCT o.o_custkey FROM lineitem li JOIN orders o ON li.l_orderkey = o.o_orderkey
            WHERE li.l_returnflag = 'R')
