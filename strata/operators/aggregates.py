@@ -81,20 +81,30 @@ def rollup_twice(df: DataFrame, inner_keys: Sequence[str], inner: Mapping[str, C
 
 
 # ------------------------------------------------------------------ A13, A14
-def share_of_total(df: DataFrame, c: str, name: str = "share_pct", digits: int = 2) -> DataFrame:
+def share_of_total(df: DataFrame, c: str, name: str = "share_pct", digits: int = 2,
+                   materialize_input: bool = False) -> DataFrame:
     """Each row's share of the global total, in percent.
 
     The total is a scalar subquery evaluated once and inlined — no
     ``Window.partitionBy()`` (which would move every row to one task) and no
-    driver round trip.
+    driver round trip.  ``materialize_input`` writes ``df`` once first, for
+    inputs that are expensive to compute (the subquery and the rows would
+    otherwise each recompute them).
     """
+    if materialize_input:
+        from strata.session import materialize
+        df = materialize(df, "share-input")
     total = df.select(F.sum(F.col(c).cast("double"))).scalar()
     return df.withColumn(name, F.round(F.try_divide(F.col(c).cast("double"), total) * F.lit(100.0), digits))
 
 
 def share_of_group(df: DataFrame, keys: Sequence[str], c: str, name: str = "group_share_pct",
-                   digits: int = 2) -> DataFrame:
-    """Each row's share of its group's total (aggregate + join back)."""
+                   digits: int = 2, materialize_input: bool = False) -> DataFrame:
+    """Each row's share of its group's total (aggregate + join back);
+    ``materialize_input`` as in ``share_of_total``."""
+    if materialize_input:
+        from strata.session import materialize
+        df = materialize(df, "share-input")
     tot = df.groupBy(*keys).agg(F.sum(F.col(c).cast("double")).alias("__grp_total"))
     return (df.join(tot, list(keys), "left")
             .withColumn(name, F.round(F.try_divide(F.col(c).cast("double"), F.col("__grp_total"))

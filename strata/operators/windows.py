@@ -68,12 +68,21 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> D
 def ranked(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = (),
            descending: bool | Sequence[bool] = True, method: str = "rank",
            name: str = "rank", nulls_last: bool | None = None,
-           num_partitions: int | None = None) -> DataFrame:
+           num_partitions: int | None = None, materialize_input: bool = True) -> DataFrame:
     """Distributed ``rank`` / ``dense_rank`` over an optional partition.
 
     Same result as ``rank() over (partition by P order by O)`` without
     collecting a partition (or the whole table) into one task.
+
+    The input is read twice (value counts, then the join back), so it is
+    written once to the checkpoint folder and not recomputed; pass
+    ``materialize_input=False`` when the input is a plain scan, which is
+    cheaper to read twice than to copy.
     """
+    from strata.session import materialize
+
+    if materialize_input:
+        df = materialize(df, "rank-input")
     part = list(partition_by)
     vals = list(order)
     desc = [descending] * len(vals) if isinstance(descending, bool) else list(descending)
@@ -106,20 +115,22 @@ def ranked(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = ()
     return _null_safe_join(df, ranks, part + vals)
 
 
-def dense_rank_by(df: DataFrame, c: str, descending: bool = True, name: str = "rank") -> DataFrame:
+def dense_rank_by(df: DataFrame, c: str, descending: bool = True, name: str = "rank",
+                  materialize_input: bool = True) -> DataFrame:
     """Dense rank over the whole table."""
-    return ranked(df, [c], (), descending, "dense_rank", name)
+    return ranked(df, [c], (), descending, "dense_rank", name, materialize_input=materialize_input)
 
 
-def rank_by(df: DataFrame, c: str, descending: bool = True, name: str = "rank") -> DataFrame:
+def rank_by(df: DataFrame, c: str, descending: bool = True, name: str = "rank",
+            materialize_input: bool = True) -> DataFrame:
     """Rank over the whole table, NULLs last."""
-    return ranked(df, [c], (), descending, "rank", name, nulls_last=True)
+    return ranked(df, [c], (), descending, "rank", name, nulls_last=True, materialize_input=materialize_input)
 
 
 def rank_in(df: DataFrame, part: Sequence[str], c: str, descending: bool = True,
-            name: str = "rank", method: str = "rank") -> DataFrame:
+            name: str = "rank", method: str = "rank", materialize_input: bool = True) -> DataFrame:
     """Rank within a partition."""
-    return ranked(df, [c], part, descending, method, name)
+    return ranked(df, [c], part, descending, method, name, materialize_input=materialize_input)
 
 
 def row_number_global(df: DataFrame, order: Sequence[str], descending: bool = False,

@@ -117,7 +117,7 @@ SELECT n_name, round(revenue, 2) AS revenue,
        round(revenue / (SELECT sum(revenue) FROM t) * 100, 2) AS share_pct FROM t
 """)
 def nation_revenue_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return share_of_total(nation_revenue(spark, sf_dir), "revenue").withColumn("revenue", F.round("revenue", 2))
+    return share_of_total(nation_revenue(spark, sf_dir), "revenue", materialize_input=True).withColumn("revenue", F.round("revenue", 2))
 
 
 @query("segment_share_in_nation", "A14 J5", SQL_NATION_REVENUE + """
@@ -127,7 +127,7 @@ FROM (SELECT n_name, c_mktsegment, revenue FROM nr)
 """)
 def segment_share_in_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nr = nation_segment_revenue(spark, sf_dir).drop("revenue_units")
-    return share_of_group(nr, ["n_name"], "revenue")
+    return share_of_group(nr, ["n_name"], "revenue", materialize_input=True)
 
 
 @query("customer_dimension", "A15", """

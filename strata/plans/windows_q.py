@@ -74,7 +74,7 @@ FROM customer
 """)
 def customer_rank_in_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    r = rank_in(c, ["c_nationkey"], "c_acctbal", name="nation_rank")
+    r = rank_in(c, ["c_nationkey"], "c_acctbal", name="nation_rank", materialize_input=False)  # plain scan
     r = rank_in(r, ["c_mktsegment"], "c_nationkey", name="nation_in_segment", method="dense_rank")
     return r.select("c_custkey", "c_nationkey", "c_acctbal", "nation_rank", "nation_in_segment")
 

@@ -93,3 +93,21 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, kind: str = "mat"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back.
+
+    Used where a plan forks over an expensive input (a deduplicated or
+    aggregated table read by two branches): Catalyst prunes each branch
+    differently, so the branches would not share an exchange and the input
+    would be computed twice.  The written copy has file statistics (AQE can
+    broadcast it if it is small) and survives executor loss.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
