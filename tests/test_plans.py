@@ -68,3 +68,14 @@ def test_flagship_pushes_filters_and_prunes_columns(spark):
 def test_fixed_size_dimensions_are_broadcast(spark):
     plan = _plan(E.entry(spark))
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["part_revenue_dense_rank", "nation_revenue_share", "top10_part_share"])
+def test_expensive_fork_inputs_are_computed_once(spark, name):
+    """Two-pass operators read a written copy of a deduplicated input, so the
+    query plan itself holds no lineitem scan or dedupe aggregate (they ran
+    once, in the write)."""
+    df = E.queries()[name](spark, SMOKE)
+    df.collect()
+    p = _plan(df)
+    assert "SortAggregate" not in p and "lineitem.parquet" not in p
