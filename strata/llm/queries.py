@@ -8,6 +8,7 @@ from strata.llm.bpe import encode_digests, load_ranks
 from strata.llm.chat import chat_digests, chat_sql, chat_windows
 from strata.llm.common import read
 from strata.llm.decontaminate import leaks
+from strata.llm.line_dedup import line_report, line_report_sql
 from strata.llm.quality_model import quality_scores
 from strata.llm.quality_rules import quality_rules, rules_sql
 from strata.llm.secret_scan import secret_spans
@@ -40,6 +41,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)],
@@ -53,5 +58,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_secret_scan, op5_quality_model,
-                                   op7_byte_bpe, op9_chat_format, op10_decontamination)}
-ORACLE_SQL = {"op1_quality_rules": rules_sql(), "op9_chat_format": chat_sql()}
+                                   op7_byte_bpe, op8_line_dedup, op9_chat_format, op10_decontamination)}
+ORACLE_SQL = {"op1_quality_rules": rules_sql(), "op8_line_dedup": line_report_sql(),
+              "op9_chat_format": chat_sql()}
