@@ -9,6 +9,7 @@ from strata.llm.chat import chat_digests, chat_sql, chat_windows
 from strata.llm.common import read
 from strata.llm.decontaminate import leaks
 from strata.llm.line_dedup import line_report, line_report_sql
+from strata.llm.pii import pii_surrogates
 from strata.llm.quality_model import quality_scores
 from strata.llm.quality_rules import quality_rules, rules_sql
 from strata.llm.secret_scan import secret_spans
@@ -37,6 +38,11 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a deployment's secret; this one is for checks only."""
+    return pii_surrogates(read(spark, sf_dir, "documents"), key="check")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), *tokenizer())
 
@@ -58,6 +64,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_secret_scan, op5_quality_model,
-                                   op7_byte_bpe, op8_line_dedup, op9_chat_format, op10_decontamination)}
+                                   op6_pii_surrogates, op7_byte_bpe, op8_line_dedup, op9_chat_format, op10_decontamination)}
 ORACLE_SQL = {"op1_quality_rules": rules_sql(), "op8_line_dedup": line_report_sql(),
               "op9_chat_format": chat_sql()}
