@@ -14,6 +14,7 @@ from strata.llm.quality_model import quality_scores
 from strata.llm.quality_rules import quality_rules, rules_sql
 from strata.llm.secret_scan import secret_spans
 from strata.llm.simhash import simhash_groups
+from strata.llm.suffix_dedup import suffix_dedup
 
 
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict, str]:
@@ -34,6 +35,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents"), length=200, kept=False)
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -63,7 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_secret_scan, op5_quality_model,
-                                   op6_pii_surrogates, op7_byte_bpe, op8_line_dedup, op9_chat_format, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_secret_scan, op4_suffix_dedup,
+                                   op5_quality_model, op6_pii_surrogates, op7_byte_bpe, op8_line_dedup, op9_chat_format, op10_decontamination)}
 ORACLE_SQL = {"op1_quality_rules": rules_sql(), "op8_line_dedup": line_report_sql(),
               "op9_chat_format": chat_sql()}
