@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from strata.llm.common import map_rows, only
 
 MAX_VOCABULARY = 1_000_000  # the broadcast's bound; vocabularies are fixed files
-MEMO = 200_000  # pieces remembered by a task
+MEMO = 200_000  # pieces remembered by a task, and as many older ones
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,39 +37,61 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def last_merges(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
+    """The two tokens that each token of several bytes is made of last."""
+    out = {}
+    for token, own in ranks.items():
+        parts = [token[i:i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            r, at = min((ranks.get(parts[i] + parts[i + 1], own), i) for i in range(len(parts) - 1))
+            if r >= own:
+                break
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2 and all(p in ranks for p in parts):
+            out[own] = ranks[parts[0]], ranks[parts[1]]
+    return out
+
+
 class Vocabulary:
-    """Ranks by token, tokens by id, and a memo of valid pairs."""
+    """Ranks by token, tokens by id, and which two tokens can be neighbours."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]] | None = None):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.made_of = last_merges(ranks) if made_of is None else made_of
+        self.longest, self.beyond = max(map(len, ranks)), max(ranks.values()) + 1
         self.pairs: dict[tuple[int, int], bool] = {}
-
-    def merges(self, data: bytes) -> list[bytes]:
-        """The plain definition, on the few bytes of a pair: merge the lowest rank first."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        #: each beginning of a token, with the token's id if it is one, else -1
+        self.heads = {t[:i]: -1 for t in ranks for i in range(1, len(t))} | ranks
 
     def valid(self, a: int, b: int) -> bool:
-        """Whether a followed by b stays as it is; a = -1: b alone."""
+        """Whether token b after token a (-1: after nothing) stays as it is."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            t = [self.tokens[x] for x in (a, b) if x >= 0]
-            ok = self.merges(b"".join(t)) == t
             if len(self.pairs) > 4 * MEMO:
                 self.pairs.clear()
-            self.pairs[a, b] = ok
+            ok = self.pairs[a, b] = self._made(b) and (a < 0 or self._apart(a, b))
         return ok
 
+    def _made(self, t: int) -> bool:
+        return t in self.made_of or len(self.tokens[t]) == 1
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Undo the merges that made either token, the latest first (of equal
+        ones the right one is later): the parts that face each other must not
+        have a merge that comes before the last one undone."""
+        before = self.beyond
+        while True:
+            r = self.ranks.get(self.tokens[a] + self.tokens[b])
+            if r is not None and r < before:
+                return False
+            at_a, at_b = (x if x in self.made_of else -1 for x in (a, b))
+            if at_a < 0 and at_b < 0:
+                return True
+            if at_a > at_b:
+                a, before = self.made_of[a][1], a
+            else:
+                b, before = self.made_of[b][0], b + 1
+
 
 class Prefixes:
     """The last token of each prefix of a growing, editable byte string."""
@@ -78,36 +100,44 @@ class Prefixes:
         self.v, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _find(self, data: bytes, end: int, last: list[int]) -> int:
-        ranks = self.v.ranks
-        for start in range(max(0, end - self.v.longest), end):
-            t = ranks.get(data[start:end])
-            if t is not None and self.v.valid(last[start - 1] if start else -1, t):
-                return t
-        raise ValueError("a byte has no token")
+    def _from(self, starts, done: int) -> None:
+        """Enter the tokens that begin at the starts and end behind done."""
+        data, last, known, pairs, valid = self.data, self.last, self.v.heads, self.v.pairs, self.v.valid
+        ends = len(data) + 1
+        for start in starts:
+            before = last[start - 1] if start else -1
+            for end in range(start + 1, ends):
+                t = known.get(data[start:end])
+                if t is None:
+                    break
+                if t >= 0 and end > done and last[end - 1] < 0:
+                    ok = pairs.get((before, t))
+                    if valid(before, t) if ok is None else ok:
+                        last[end - 1] = t
 
     def append(self, more: bytes) -> None:
+        done = len(self.data)
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._find(self.data, end, self.last))
+        self.last += [-1] * len(more)
+        self._from(range(max(0, done - self.v.longest + 1), len(self.data)), done)
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace bytes start to stop; gives the number of entries computed.
 
         An entry depends on bytes and entries at most the longest token back,
         so once that many in a row beyond the edit are as before, all are."""
-        old, shift = self.last, len(new) - (stop - start)
+        old, beyond = self.last, start + len(new)
         self.data = self.data[:start] + new + self.data[stop:]
-        last, same, done = old[:start], 0, 0
-        for end in range(start + 1, len(self.data) + 1):
-            last.append(self._find(self.data, end, last))
-            done += 1
-            same = same + 1 if end - 1 >= start + len(new) and old[end - 1 - shift] == last[-1] else 0
-            if same >= self.v.longest:
-                last.extend(old[end - shift:])
-                break
-        self.last = last
-        return done
+        self.last = old[:start] + [-1] * (len(self.data) - start)
+        same = 0
+        for at in range(max(0, start - self.v.longest + 1), len(self.data)):
+            if at > beyond:  # the entry of the prefix up to here is final
+                same = same + 1 if self.last[at - 1] == old[at - 1 - len(new) + stop - start] else 0
+                if same >= self.v.longest:
+                    self.last[at:] = old[at - len(new) + stop - start:]
+                    return at - start
+            self._from((at,), start)
+        return len(self.data) - start
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
@@ -120,14 +150,14 @@ class Prefixes:
 class Encoder:
     """Encodes and decodes whole texts; remembers short pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, made_of: dict[int, tuple[int, int]] | None = None):
         import regex
 
         # \s of the tokenizer is Unicode's white space
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
                                    .replace(r"\S", r"\P{White_Space}")).findall
-        self.v = Vocabulary(ranks)
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.v = Vocabulary(ranks, made_of)
+        self.memo = Memo(self.piece)
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.split(text) for i in Prefixes(self.v, p.encode()).ids()]
@@ -137,30 +167,40 @@ class Encoder:
 
     def piece(self, p: str) -> tuple[int, str, bytes]:
         """How many ids, the ids as text, and their bytes decoded."""
-        got = self.memo.get(p)
-        if got is None:
-            ids = Prefixes(self.v, p.encode()).ids()
-            got = len(ids), " ".join(map(str, ids)), self.decode(ids)
-            if len(p) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[p] = got
-        return got
+        data = p.encode()
+        whole = self.v.ranks.get(data)
+        # a valid token that is the whole piece is its one last token
+        ids = [whole] if whole is not None and self.v.valid(-1, whole) else Prefixes(self.v, data).ids()
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        parts = list(map(self.piece, self.split(text)))
-        ids = " ".join([p[1] for p in parts])
-        return (sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(),
-                hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+        n, ids, data = zip(*map(self.memo.__getitem__, self.split(text)), strict=True) if text else ((), (), ())
+        return (sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest())
+
+
+class Memo(dict):
+    """Results by piece: up to MEMO recent ones and as many older ones."""
+
+    def __init__(self, of):
+        self.of, self.older = of, {}
+
+    def __missing__(self, p: str):
+        got = self.older.get(p) or self.of(p)
+        if len(p) <= 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[p] = got
+        return got
 
 
 def _shared(df: DataFrame, ranks: dict[bytes, int], pattern: str):
-    sent = df.sparkSession.sparkContext.broadcast(ranks)
+    sent = df.sparkSession.sparkContext.broadcast((ranks, last_merges(ranks)))
     here = []
 
     def encoder() -> Encoder:
         if not here:
-            here.append(Encoder(sent.value, pattern))
+            here.append(Encoder(sent.value[0], pattern, sent.value[1]))
         return here[0]
 
     return encoder
