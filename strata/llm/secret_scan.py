@@ -211,9 +211,10 @@ def fit_formats(docs: DataFrame, sample: int = 400) -> Formats:
         return {"kind": k, "value": v, "h": h}
 
     found = map_rows(only(docs, "text"), run, "kind string, value string, h string")
-    # a batch sends at most `sample` rows a kind, a task keeps as many per kind for the window's group limit
-    best = found.distinct().withColumn("nr", F.row_number().over(Window.partitionBy("kind").orderBy("h"))).where(
-        F.col("nr") <= sample)
+    # the smallest of each of 256 parts first: a task holds the bests of many others, not all
+    best = found.distinct().withColumn("part", F.substring("h", -2, 2))
+    for by in (("kind", "part"), ("kind",)):
+        best = best.withColumn("nr", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("nr") <= sample)
     examples = defaultdict(list)
     for r in best.select("kind", "value").collect():  # at most 5 * sample short strings
         examples[r["kind"]].append(r["value"])
