@@ -128,6 +128,17 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
                      (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))
 
 
+def kept_documents(docs: DataFrame, keep: tuple[str, ...], **settings) -> DataFrame:
+    """The ``keep`` columns of documents that pass.
+
+    The counts of both are observed metrics of the query; that step also keeps
+    the optimizer from moving the verdict's filter into the projections, where
+    each use of a count would compute it anew."""
+    df = quality_rules(docs, keep=keep, **settings)
+    return df.observe("quality_rules", F.count(F.lit(1)).alias("documents"), F.count_if("kept").alias("kept")).where(
+        "kept").select(*keep)
+
+
 def rules_sql(rules: tuple[Rule, ...] = RULES, table: str = "documents") -> str:
     """The same counts and verdict as DuckDB SQL, from the definitions."""
     stop = ", ".join(f"'{w}'" for w in STOP_FORMS)

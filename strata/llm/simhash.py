@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import Scratch, map_rows, only
@@ -134,3 +134,15 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFr
     comp_of = single.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     comp_of = scratch.keep(comp_of)  # two shuffle reads at the join below, so AQE can split a hot fingerprint
     return rows.join(comp_of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), words: int = 3, max_bits: int = 2) -> DataFrame:
+    """The ``keep`` columns of the document that names its component; one row
+    of those that repeat a doc_id.  Rows without a doc_id cannot be named in a
+    group and stay."""
+    named = docs.where("doc_id IS NOT NULL")
+    first = simhash_groups(named, words, max_bits).where("doc_id = component_id").select("doc_id").distinct()
+    rows = named.select(*keep).join(first, "doc_id")
+    same = Window.partitionBy("doc_id").orderBy(*[c for c in keep if c != "doc_id"])
+    rows = rows.withColumn("__nr", F.row_number().over(same)).where("__nr = 1").select(*keep)
+    return rows.unionByName(docs.where("doc_id IS NULL").select(*keep))
