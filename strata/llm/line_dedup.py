@@ -90,7 +90,7 @@ def within_edits(a: Column, b: Column, edits: int = 1) -> Column:
     part of b can become that of a plus x characters with e edits.  One step
     reads a character of b for all diagonals at once."""
     band, width = (1 << 2 * edits + 1) - 1, range(-edits, edits + 1)
-    chars = F.split(a, "")
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     start = F.struct(*[F.lit(sum(1 << x + edits for x in range(e + 1))).alias(f"r{e}") for e in range(edits + 1)],
                      F.lit(0).alias("at"))
 
@@ -106,7 +106,7 @@ def within_edits(a: Column, b: Column, edits: int = 1) -> Column:
         return read
 
     # chars is bound once for all steps
-    last = F.element_at(F.transform(F.array(chars), lambda ca: F.aggregate(F.split(b, ""), start, step(ca))), 1)
+    last = F.element_at(F.transform(F.array(chars(a)), lambda ca: F.aggregate(chars(b), start, step(ca))), 1)
     gap = F.length(a) - F.length(b)
     hit = sum((F.when(gap == x, last[f"r{edits}"].bitwiseAND(F.lit(1 << x + edits))).otherwise(0) for x in width), F.lit(0))
     return F.when(F.abs(gap) > edits, F.lit(False)).otherwise(hit != 0)
