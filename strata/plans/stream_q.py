@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strata.plans.catalog import query, table
 from strata.streaming import (_scratch, alert_stream, apply_changes, current_rows, group_signal,
-                              latest_n, read_stream, read_upserted, replica_diff, run_to_completion,
+                              latest_n, read_alerts, read_stream, read_upserted, replica_diff, run_to_completion,
                               sigma_outliers, store_count, stream_append, tumbling_avg, tumbling_count,
                               upsert_windows)
 
@@ -69,12 +69,13 @@ def event_store_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ streaming forms
-def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return read_stream(spark, sf_dir, schema, glob="events.parquet")
+def _events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The events table, a file or a folder of files, as a stream of its files
+    (a pattern, because a plain path has to be a folder for a file stream)."""
+    return read_stream(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema, max_files=max_files)
 
 
-@query("stream_append_events", "T1 S6", "SELECT * FROM events")
+@query("stream_append_events", "T1", "SELECT * FROM events")
 def stream_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = _scratch(spark, "sink-append")
     run_to_completion(stream_append(_events_stream(spark, sf_dir), sink))
@@ -84,7 +85,7 @@ def stream_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_events_per_minute", "T3 T1", SQL_PER_MINUTE)
 def stream_events_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = _scratch(spark, "sink-minute")
-    agg = tumbling_count(_events_stream(spark, sf_dir), "ts", "1 minute", watermark="10 minutes")
+    agg = tumbling_count(_events_stream(spark, sf_dir), "ts", "1 minute")
     run_to_completion(upsert_windows(agg, sink, ["window_start"]))
     return read_upserted(spark, sink, ["window_start"])
 
@@ -97,7 +98,7 @@ FROM events GROUP BY 1
 """)
 def stream_signal_avg_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = _scratch(spark, "sink-5min")
-    agg = tumbling_avg(_events_stream(spark, sf_dir), "ts", "value", "5 minutes", watermark="10 minutes")
+    agg = tumbling_avg(_events_stream(spark, sf_dir), "ts", "value", "5 minutes")
     run_to_completion(upsert_windows(agg, sink, ["window_start"]))
     return read_upserted(spark, sink, ["window_start"])
 
@@ -110,14 +111,15 @@ def stream_error_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = (F.col("event_type") == "error") & (F.col("value") > 40)
     run_to_completion(alert_stream(_events_stream(spark, sf_dir), pred, sink,
                                    cols=["event_id", "ts", "user_id", "value"]))
-    return spark.read.parquet(sink)
+    return read_alerts(spark, sink)
 
 
 # ------------------------------------------------------------------ change propagation
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed changes derived from orders: pending orders are fulfilled with a 100.00 surcharge (seq 1),
     low-priority open orders are deleted (seq 2), and urgent pending orders are
-    re-opened afterwards (seq 3, overriding seq 1)."""
+    re-opened afterwards (seq 3: the status of seq 1 is overridden, its
+    surcharge stays)."""
     o = table(spark, sf_dir, "orders")
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
     fulfil = o.filter(st == "P").select("o_orderkey", F.lit(1).alias("seq"), F.lit("U").alias("op"),
@@ -132,28 +134,21 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulfil.unionByName(delete).unionByName(reopen)
 
 
+# the three statements one after another, each on the rows the one before left
 SQL_ORDER_CHANGES = """
-WITH ch AS (
-  SELECT o_orderkey, 1 AS seq, 'U' AS op, 'F' AS o_orderstatus, o_totalprice + CAST(100 AS DOUBLE) AS o_totalprice
-  FROM orders WHERE o_orderstatus = 'P'
-  UNION ALL
-  SELECT o_orderkey, 2, 'D', NULL, NULL FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '5-LOW'
-  UNION ALL
-  SELECT o_orderkey, 3, 'U', 'O', NULL FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'),
-last AS (SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC, op DESC, o_orderstatus DESC NULLS LAST,
-                                                        o_totalprice DESC NULLS LAST) AS rn FROM ch) WHERE rn = 1),
+WITH fulfilled AS (
+  SELECT *, o_orderstatus AS was, o_orderstatus = 'P' AS touched,
+         CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS st,
+         CASE WHEN o_orderstatus = 'P' THEN o_totalprice + CAST(100 AS DOUBLE) ELSE o_totalprice END AS price FROM orders),
+deleted AS (SELECT *, was = 'O' AND o_orderpriority = '5-LOW' AS gone FROM fulfilled),
+reopened AS (SELECT * REPLACE (CASE WHEN was = 'P' AND o_orderpriority = '1-URGENT' THEN 'O' ELSE st END AS st) FROM deleted),
 applied AS (
-  SELECT o.o_orderkey, o.o_custkey,
-    CASE WHEN l.op = 'D' THEN o.o_orderstatus ELSE coalesce(l.o_orderstatus, o.o_orderstatus) END AS o_orderstatus,
-    CASE WHEN l.op = 'D' THEN o.o_totalprice ELSE coalesce(l.o_totalprice, o.o_totalprice) END AS o_totalprice,
-    o.o_orderdate, o.o_orderpriority,
-    CASE WHEN l.o_orderkey IS NULL THEN 'unchanged' WHEN l.op = 'D' THEN 'deleted' ELSE 'updated' END AS change
-  FROM orders o LEFT JOIN last l ON o.o_orderkey = l.o_orderkey)
+  SELECT o_orderkey, o_custkey, st AS o_orderstatus, price AS o_totalprice, o_orderdate, o_orderpriority,
+         CASE WHEN gone THEN 'deleted' WHEN touched THEN 'updated' ELSE 'unchanged' END AS change FROM reopened)
 """
 
 
-@query("orders_apply_changes", "T10 W1", SQL_ORDER_CHANGES + "SELECT * FROM applied")
+@query("orders_apply_changes", "T10", SQL_ORDER_CHANGES + "SELECT * FROM applied")
 def orders_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(table(spark, sf_dir, "orders"), order_changes(spark, sf_dir), ["o_orderkey"], "seq")
 

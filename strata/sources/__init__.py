@@ -153,11 +153,19 @@ def create_view(spark: SparkSession, name: str, sql: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S11
-def compact(df: DataFrame, path: str, target_files: int, sort_cols: Sequence[str] = (),
-            fmt: str = "parquet") -> DataFrame:
-    """Rewrite a table into at most ``target_files`` files, sorted within
-    files for better min/max skipping.  Writes to ``path`` (a new location;
-    the caller swaps names) and returns the rewritten table."""
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files a stored table is read from, by the planner's count."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def compact(df: DataFrame, path: str, target_files: int | None = None, sort_cols: Sequence[str] = (),
+            fmt: str = "parquet", file_bytes: int = 512 << 20) -> DataFrame:
+    """Rewrite a table into files of about ``file_bytes`` (or at most
+    ``target_files`` files), sorted within files for better min/max skipping.
+    Writes to ``path`` (a new location; the caller swaps names) and returns
+    the rewritten table."""
+    if target_files is None:
+        target_files = max(1, -(-stored_bytes(df) // file_bytes))
     out = df.repartitionByRange(target_files, *sort_cols) if sort_cols else df.repartition(target_files)
     if sort_cols:
         out = out.sortWithinPartitions(*sort_cols)

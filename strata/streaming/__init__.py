@@ -2,8 +2,10 @@
 
 Every windowed query is one function that works on a batch DataFrame *and*
 on a streaming DataFrame (Structured Streaming), so the batch result is the
-oracle for the stream result.  Streams use an event-time watermark so the
-window state stays bounded; because append mode withholds the last open
+oracle for the stream result.  An endless stream takes an event-time watermark
+(a parameter: it bounds the window state and drops later rows, which
+``run_to_completion`` counts); draining a stored table takes none, so no row
+is lost in any order of files and micro-batches; because append mode withholds the last open
 windows, the runners emit in *update* mode through ``foreachBatch`` and
 upsert by window into the sink (the latest emission of a window wins).
 
@@ -23,7 +25,7 @@ from pyspark.sql.types import StructType
 from strata.functions import units
 from strata.session import checkpoint_dir
 
-DEFAULT_WATERMARK = "10 minutes"
+BATCH = "batch_id"
 
 
 # ------------------------------------------------------------------ T3-T8 (batch or stream)
@@ -84,7 +86,10 @@ def sigma_outliers(df: DataFrame, key: str, c: str, k: float = 3.0, stats: DataF
     ``stats`` may be a static table (stream-static join for a streaming
     ``df``); by default it is computed from ``df`` itself (batch).
     """
-    st = stats if stats is not None else group_stats(df, key, c)
+    from strata.session import materialize
+
+    # written first, so that AQE can split a hot key at the join
+    st = stats if stats is not None else materialize(group_stats(df, key, c), "group-stats")
     out = (df.join(st, key, "inner")
            .filter(F.col(c) > F.col("avg_val") + F.lit(k) * F.col("stdev_val"))
            .select(key, c, "avg_val", "stdev_val"))
@@ -107,33 +112,41 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: Sequence[str], seq:
     """Apply keyed changes to a replica and report what happened per key.
 
     ``changes`` holds ``key + [seq, op] + value columns`` (a subset of the
-    base columns; NULL means "unchanged").  The latest change per key wins
-    (W1, partial aggregate).  Output = base columns + ``change`` in
-    {'unchanged', 'updated', 'inserted', 'deleted'}; deleted rows are kept
-    with their old values so the caller can report them, and are dropped by
-    ``current_rows``.
+    base columns; NULL means "unchanged").  Changes apply in ``seq`` order:
+    each value column takes its last non-NULL change, so two changes of
+    different columns of one key both count; a delete forgets the row, and a
+    change behind it starts a new row whose other columns are NULL.  Equal
+    ``seq``: a delete comes first, then the greater value.
+
+    One partial aggregate per key (no per-key sort).  Output = base columns +
+    ``change`` in {'unchanged', 'updated', 'inserted', 'deleted'}; deleted
+    rows are kept with their old values so the caller can report them, and
+    are dropped by ``current_rows``.
     """
-    from strata.operators.windows import latest_by
-
     key = list(key)
     val_cols = [c for c in changes.columns if c not in key and c not in (seq, op_col)]
-    last = latest_by(changes, key, [seq])
-    b = base.withColumn("__in_base", F.lit(True))
-    ch = last.select(*key, op_col, *[F.col(c).alias(f"__new_{c}") for c in val_cols],
-                     F.lit(True).alias("__in_changes"))
-    j = b.join(ch, key, "full_outer")
+    dropped = F.col(op_col) == delete_op
+    at = F.col(seq)
+    ch = changes.groupBy(*key).agg(
+        F.max(F.when(dropped, at)).alias("__deleted_at"),
+        F.max(F.when(~dropped, at)).alias("__changed_at"),
+        *[F.max(F.when(~dropped & F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v")))).alias(f"__last_{c}")
+          for c in val_cols]).withColumn("__in_changes", F.lit(True))
+    j = base.withColumn("__in_base", F.lit(True)).join(ch, key, "full_outer")
+    gone = F.col("__deleted_at").isNotNull() & (F.col("__changed_at").isNull() | (F.col("__changed_at") < F.col("__deleted_at")))
+    again = F.col("__deleted_at").isNotNull() & ~gone
     cols = []
     for c in base.columns:
         if c in key:
             cols.append(F.col(c))
-        elif c in val_cols:
-            cols.append(F.when(F.col(op_col) == delete_op, F.col(c))
-                        .otherwise(F.coalesce(F.col(f"__new_{c}"), F.col(c))).alias(c))
-        else:
-            cols.append(F.col(c))
+            continue
+        new = F.lit(None)
+        if c in val_cols:
+            last = F.col(f"__last_{c}")
+            new = F.when(F.col("__deleted_at").isNull() | (last["at"] >= F.col("__deleted_at")), last["v"])
+        cols.append(F.when(gone, F.col(c)).when(again, new).otherwise(F.coalesce(new, F.col(c))).alias(c))
     change = (F.when(F.col("__in_changes").isNull(), F.lit("unchanged"))
-              .when(F.col(op_col) == delete_op,
-                    F.when(F.col("__in_base").isNull(), F.lit("noop")).otherwise(F.lit("deleted")))
+              .when(gone, F.when(F.col("__in_base").isNull(), F.lit("noop")).otherwise(F.lit("deleted")))
               .when(F.col("__in_base").isNull(), F.lit("inserted"))
               .otherwise(F.lit("updated")))
     return j.select(*cols, change.alias("change")).filter(F.col("change") != "noop")
@@ -203,13 +216,13 @@ def stream_append(stream_df: DataFrame, sink_path: str, checkpoint: str | None =
 def upsert_windows(stream_agg: DataFrame, sink_path: str, keys: Sequence[str], checkpoint: str | None = None,
                    available_now: bool = True):
     """Run a windowed aggregate in update mode; each micro-batch's changed
-    windows are appended with the batch id, and ``read_upserted`` keeps the
-    latest emission per window key."""
+    windows go to a folder of the batch id, written anew if the batch is
+    retried, and ``read_upserted`` keeps the latest emission per window key."""
     spark = stream_agg.sparkSession
     ck = checkpoint or _scratch(spark, "ckpt-upsert")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+        batch.write.mode("overwrite").parquet(f"{sink_path}/{BATCH}={batch_id}")
 
     w = stream_agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ck)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -220,13 +233,14 @@ def read_upserted(spark: SparkSession, sink_path: str, keys: Sequence[str]) -> D
     from strata.operators.windows import latest_by
 
     df = spark.read.parquet(sink_path)
-    cols = [c for c in df.columns if c != "__batch"]
-    return latest_by(df.select("__batch", *cols), keys, ["__batch"]).select(*cols)
+    cols = [c for c in df.columns if c != BATCH]
+    return latest_by(df.select(BATCH, *cols), keys, [BATCH]).select(*cols)
 
 
 def alert_stream(stream_df: DataFrame, predicate: Column, sink_path: str, cols: Sequence[str] | None = None,
                  checkpoint: str | None = None, available_now: bool = True):
-    """Stateless alert feed — filtered rows appended per micro-batch."""
+    """Stateless alert feed — the filtered rows of each micro-batch in a
+    folder of its id, so that a retried batch does not add its rows twice."""
     spark = stream_df.sparkSession
     ck = checkpoint or _scratch(spark, "ckpt-alert")
     feed = stream_df.filter(predicate)
@@ -234,20 +248,24 @@ def alert_stream(stream_df: DataFrame, predicate: Column, sink_path: str, cols:
         feed = feed.select(*cols)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(sink_path)
+        batch.write.mode("overwrite").parquet(f"{sink_path}/{BATCH}={batch_id}")
 
     w = feed.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", ck)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def run_to_completion(q, timeout_s: int = 600) -> None:
-    """Wait for an ``availableNow`` query to drain its input, then stop it."""
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
+def read_alerts(spark: SparkSession, sink_path: str) -> DataFrame:
+    return spark.read.parquet(sink_path).drop(BATCH)
+
+
+def run_to_completion(q) -> int:
+    """Wait, however long it takes, for an ``availableNow`` query to drain its
+    input; gives the number of late rows that its watermark dropped."""
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    return sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators)
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
