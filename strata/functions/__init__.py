@@ -267,6 +267,12 @@ def exact_sum(c: ColumnOrName, scale: int = 2) -> Column:
     return F.sum(units(c, scale)) / F.lit(float(10 ** scale))
 
 
+def wide_sum(units_: Column, scale: int = 4) -> Column:
+    """Sum of integer units over whole tables, as double: ``decimal(38,0)``
+    holds totals that a long overflows at (some 1e10 lines)."""
+    return F.sum(units_.cast("decimal(20,0)")).cast("double") / F.lit(float(10 ** scale))
+
+
 def exact_avg(c: ColumnOrName, scale: int = 2) -> Column:
     """Order-independent mean of a ``scale``-decimal column, as double."""
     return F.sum(units(c, scale)) / F.lit(float(10 ** scale)) / F.count(col(c))

@@ -120,10 +120,10 @@ def dimension(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ A16-A19
 def weekly(df: DataFrame, date_col: str, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """Weekly trend keyed by (year, ISO week) — the year keeps weeks of
-    different years apart (reference defect §8 fixed)."""
+    """Weekly trend keyed by ISO year and ISO week: a week at the turn of
+    the year is one week, of the year its Thursday lies in."""
     d = F.to_date(F.col(date_col))
-    return (df.withColumns({"year": F.year(d), "week": F.weekofyear(d)})
+    return (df.withColumns({"year": F.date_part(F.lit("YEAROFWEEK"), d).cast("int"), "week": F.weekofyear(d)})
             .groupBy("year", "week", *keys)
             .agg(*[e.alias(n) for n, e in aggs.items()]))
 

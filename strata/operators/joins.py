@@ -75,9 +75,12 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Col
 
     Aggregate-then-join instead of a partition window: the aggregate is
     partially computed map-side, so a key holding a third of the rows never
-    lands whole in one task; the join back is split by AQE's skew handling.
+    lands whole in one task.  It is written before the join back: AQE splits a
+    hot key only where both inputs of the join are plain shuffles.
     """
-    agg = df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()])
+    from strata.session import materialize
+
+    agg = materialize(df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]), "group-stats")
     return df.join(agg, list(keys), "left")
 
 

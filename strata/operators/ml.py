@@ -132,6 +132,14 @@ def _pipeline(numeric: Sequence[str], categorical: Sequence[str], estimator):
     return Pipeline(stages=[*idx, vec, estimator])
 
 
+def max_bins(train: DataFrame, categorical: Sequence[str], least: int = 64) -> int:
+    """Bins that hold every category of every column, and one for unseen ones."""
+    if not categorical:
+        return least
+    n = train.agg(*[F.countDistinct(c).alias(c) for c in categorical]).first()
+    return max(least, *(v + 2 for v in n))
+
+
 def train_gbt(train: DataFrame, label: str, numeric, categorical=(), max_iter: int = 100, max_depth: int = 10,
               step: float = 0.07, seed: int = 42, regression: bool = False):
     """Gradient-boosted trees (classifier or regressor)."""
@@ -140,7 +148,7 @@ def train_gbt(train: DataFrame, label: str, numeric, categorical=(), max_iter: i
 
     cls = GBTRegressor if regression else GBTClassifier
     est = cls(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=max_depth, stepSize=step,
-              seed=seed, maxBins=64)
+              seed=seed, maxBins=max_bins(train, categorical))
     return _pipeline(numeric, categorical, est).fit(train)
 
 
@@ -151,7 +159,8 @@ def train_rf(train: DataFrame, label: str, numeric, categorical=(), trees: int =
     from pyspark.ml.regression import RandomForestRegressor
 
     cls = RandomForestRegressor if regression else RandomForestClassifier
-    est = cls(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=max_depth, seed=seed, maxBins=64)
+    est = cls(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=max_depth, seed=seed,
+              maxBins=max_bins(train, categorical))
     return _pipeline(numeric, categorical, est).fit(train)
 
 
@@ -164,7 +173,7 @@ def evaluate_binary(pred: DataFrame, label: str, prediction: str = "prediction",
 
     p = pred.withColumn("__p1", positive_probability(probability))
     auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="__p1",
-                                        metricName="areaUnderROC").evaluate(p)
+                                        metricName="areaUnderROC", numBins=0).evaluate(p)
     y, yhat = F.col(label).cast("int"), F.col(prediction).cast("int")
     m = pred.agg(F.count_if((y == 1) & (yhat == 1)).alias("tp"), F.count_if((y == 0) & (yhat == 1)).alias("fp"),
                  F.count_if((y == 1) & (yhat == 0)).alias("fn"), F.count_if((y == 0) & (yhat == 0)).alias("tn"))

@@ -74,7 +74,9 @@ def ranked(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = ()
     Same result as ``rank() over (partition by P order by O)`` without
     collecting a partition (or the whole table) into one task.
 
-    The input is read twice (value counts, then the join back), so it is
+    The distinct values with their counts and range numbers are written once:
+    ranks do not depend on a plan's exchanges being reused.  The input itself
+    is read twice (value counts, then the join back), so it is
     written once to the checkpoint folder and not recomputed; pass
     ``materialize_input=False`` when the input is a plain scan, which is
     cheaper to read twice than to copy.
@@ -91,7 +93,9 @@ def ranked(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = ()
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     counts = df.groupBy(*part, *vals).agg(F.count(F.lit(1)).alias("__n"))
-    rp = counts.repartitionByRange(n, *sorts).withColumn("__pid", F.spark_partition_id())
+    # range bounds are sampled anew for each exchange, so the numbering is
+    # written once and both branches below read the same one
+    rp = materialize(counts.repartitionByRange(n, *sorts).withColumn("__pid", F.spark_partition_id()), "rank-ranges")
     w_local = Window.partitionBy("__pid", *part).orderBy(*sorts)
     local = (rp.withColumn("__before", F.coalesce(
                  F.sum("__n").over(w_local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -133,12 +137,6 @@ def rank_in(df: DataFrame, part: Sequence[str], c: str, descending: bool = True,
     return ranked(df, [c], part, descending, method, name, materialize_input=materialize_input)
 
 
-def row_number_global(df: DataFrame, order: Sequence[str], descending: bool = False,
-                      name: str = "row_num") -> DataFrame:
-    """Gap-free global numbering on a total order (``order`` must be unique)."""
-    return ranked(df, order, (), descending, "rank", name)
-
-
 # ------------------------------------------------------------------ W6 / W7
 def lag_features(df: DataFrame, keys: Sequence[str], order: str,
                  lags: Mapping[str, Sequence[int]]) -> DataFrame:
@@ -178,10 +176,13 @@ def sigma_flag(df: DataFrame, keys: Sequence[str], c: str, k: float = 2.0,
     """Flag rows farther than ``k`` sample stddevs from their group mean.
 
     A group with one reading has NULL stddev → flag False (not NULL).
-    Aggregate + join (partial aggregation) rather than a partition window.
+    Aggregate + join (partial aggregation) rather than a partition window; the
+    aggregate is written first, so that AQE can split a hot key at the join.
     """
+    from strata.session import materialize
+
     name = name or f"{c}_anomaly"
-    st = df.groupBy(*keys).agg(F.avg(c).alias(f"__avg_{c}"), F.stddev(c).alias(f"__std_{c}"))
+    st = materialize(df.groupBy(*keys).agg(F.avg(c).alias(f"__avg_{c}"), F.stddev(c).alias(f"__std_{c}")), "sigma-stats")
     out = df.join(st, list(keys), "left")
     cond = F.abs(F.col(c) - F.col(f"__avg_{c}")) > F.lit(k) * F.col(f"__std_{c}")
     out = out.withColumn(name, F.coalesce(cond, F.lit(False)))
@@ -192,7 +193,9 @@ def sigma_flag(df: DataFrame, keys: Sequence[str], c: str, k: float = 2.0,
 
 def repeat_flag(df: DataFrame, key: str, name: str = "is_repeat", as_int: bool = True) -> DataFrame:
     """1 when the key occurs more than once (count per key joined back)."""
-    cnt = df.groupBy(key).agg(F.count(F.lit(1)).alias("__cnt"))
+    from strata.session import materialize
+
+    cnt = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("__cnt")), "key-counts")
     f = F.col("__cnt") > 1
     return (df.join(cnt, key, "left")
             .withColumn(name, f.cast("int") if as_int else f).drop("__cnt"))

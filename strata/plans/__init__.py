@@ -4,17 +4,8 @@ Importing this package imports every plan module, filling ``REGISTRY``.
 """
 
 from strata.plans.catalog import REGISTRY, Entry, query, table  # noqa: F401
-from strata.plans import sales  # noqa: F401  (registers queries)
-
-_MODULES = ["columns", "joins_q", "aggs_q", "windows_q", "sources_q", "stream_q",
-            "measures_q", "contracts_q", "ml_q"]
-
-for _m in _MODULES:
-    try:
-        __import__(f"strata.plans.{_m}")
-    except ModuleNotFoundError as e:  # modules are added as coverage grows
-        if e.name != f"strata.plans.{_m}":
-            raise
+from strata.plans import (aggs_q, columns, joins_q, measures_q, ml_q, sales, stream_q,  # noqa: F401  (register queries)
+                          windows_q)
 
 
 def queries():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import exact_sum, net_units, units
+from strata.functions import exact_sum, net_units, units, wide_sum
 from strata.operators.aggregates import (best_of, count_if, dimension, kpi, kpi_cards,
                                          profile, rollup_twice, series, share_of_group,
                                          share_of_total, spread, sum_if, summary, value_counts,
@@ -74,7 +74,7 @@ def lineitem_global_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return summary(li, {
         "lines": F.count(F.lit(1)), "orders": F.countDistinct("l_orderkey"),
-        "revenue": F.sum(net_units("l_extendedprice", "l_discount")) / F.lit(10000.0),
+        "revenue": wide_sum(net_units("l_extendedprice", "l_discount")),
         "units": F.sum("l_quantity"), "first_ship": F.min("l_shipdate"), "last_ship": F.max("l_shipdate"),
     })
 
@@ -101,14 +101,14 @@ def nation_segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey))
     return kpi(j, ["n_name", "c_mktsegment"], {
-        "revenue": F.sum(net_units("l_extendedprice", "l_discount")) / F.lit(10000.0),
-        "revenue_units": F.sum(net_units("l_extendedprice", "l_discount"))})
+        "revenue": wide_sum(net_units("l_extendedprice", "l_discount")),
+        "revenue_units": F.sum(net_units("l_extendedprice", "l_discount").cast("decimal(20,0)"))})
 
 
 def nation_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-nation revenue re-aggregated from exact units (order-independent)."""
     nr = nation_segment_revenue(spark, sf_dir)
-    return nr.groupBy("n_name").agg((F.sum("revenue_units") / F.lit(10000.0)).alias("revenue"))
+    return nr.groupBy("n_name").agg((F.sum("revenue_units").cast("double") / F.lit(10000.0)).alias("revenue"))
 
 
 @query("nation_revenue_share", "A13 W10 J7", SQL_NATION_REVENUE + """
@@ -237,7 +237,7 @@ def kpi_cards_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi_cards([
         (o, {"total_orders": F.count(F.lit(1))}),
         (c, {"total_customers": F.count(F.lit(1))}),
-        (li, {"gross_revenue": F.sum(net_units("l_extendedprice", "l_discount")) / F.lit(10000.0),
+        (li, {"gross_revenue": wide_sum(net_units("l_extendedprice", "l_discount")),
               "returned_lines": count_if(F.col("l_returnflag") == "R")}),
         (ev, {"active_users": F.countDistinct("user_id")}),
     ])

@@ -115,6 +115,9 @@ def feature_table(spec: MLSpec, silver: dict) -> DataFrame:
 def run_ml(spark, spec: MLSpec, silver: dict, gbt_iter: int = 100, gbt_depth: int = 6) -> dict[str, DataFrame]:
     f = feature_table(spec, silver)
     guard = guard_label(f, spec.label, min_rows=spec.min_rows, regression=spec.regression)
+    found = guard.first()
+    if not found["passed"]:  # nothing is trained on a label that cannot teach anything
+        raise ValueError(f"label guard of {spec.label}: {found.asDict()}")
     f = ml.split_flag(f, spec.key)
     train, test = f.filter("is_train"), f.filter("NOT is_train")
     trees, depth = spec.rf

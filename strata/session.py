@@ -46,7 +46,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("STRATA_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or int(os.environ.get("STRATA_SHUFFLE_PARTITIONS", "0"))
+    if not parts:
+        if master and not master.startswith("local"):
+            raise ValueError("on a cluster, give shuffle_partitions or STRATA_SHUFFLE_PARTITIONS: AQE only "
+                             "coalesces downward from it")
+        parts = 8
     conf = dict(DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(parts)
     conf["spark.driver.memory"] = os.environ.get("STRATA_DRIVER_MEMORY", "16g")
@@ -110,4 +115,19 @@ def materialize(df, kind: str = "mat"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_intermediates(spark) -> int:
+    """Delete what ``materialize`` wrote in this application.  The application
+    owns these copies: call it once no plan that reads them is still to run."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)

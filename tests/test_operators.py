@@ -1,6 +1,7 @@
 """Operator behaviour on small hand-written frames (the FIXTURES edge rows)."""
 
 import datetime as dt
+import tempfile
 
 import pytest
 from pyspark.sql import Window
@@ -203,3 +204,61 @@ def test_profile_and_kpi_cards(spark):
     assert p == {"a": (2.0, 2.0, 1.0, 3.0), "b": (2.0, 10.375, 10.25, 10.5)}
     cards = A.kpi_cards([(df, {"n": F.count(F.lit(1))}), (df, {"mx": F.max("a")})]).collect()
     assert [tuple(r) for r in cards] == [(2, 3.0)]
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_ranks_do_not_depend_on_exchange_reuse(spark, reuse):
+    n = 400_000
+    df = spark.range(n).select((F.col("id") % 3).alias("g"), F.expr("pmod(id * 7919, 400000)").alias("v"))
+    key = "spark.sql.exchange.reuse"
+    before = spark.conf.get(key)
+    spark.conf.set(key, reuse)
+    try:
+        r = W.ranked(df, ["v"], (), False, "rank", "r", num_partitions=16, materialize_input=False)
+        assert r.where("r <> v + 1").count() == 0
+        g = W.ranked(df, ["v"], ["g"], False, "rank", "r", num_partitions=16, materialize_input=False)
+        want = F.row_number().over(Window.partitionBy("g").orderBy("v"))
+        assert g.withColumn("w", want).where("r <> w").count() == 0
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_wide_sum_passes_a_long(spark):
+    from strata.functions import wide_sum
+
+    df = spark.range(4).select(F.lit(2 ** 62).alias("u"))
+    assert df.agg(wide_sum(F.col("u"), 0).alias("s")).first().s == float(4 * 2 ** 62)
+
+
+def test_weekly_keeps_turn_of_year_weeks_together(spark):
+    from strata.operators.aggregates import weekly
+
+    df = spark.createDataFrame([("2018-01-02",), ("2018-12-31",), ("2019-01-01",)], "d string")
+    assert {tuple(r) for r in weekly(df, "d", [], {"n": F.count(F.lit(1))}).collect()} == {(2018, 1, 1), (2019, 1, 2)}
+
+
+def test_hot_key_join_backs_are_split(spark):
+    """Half of the rows on one key: AQE splits it at the join back."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "16",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    path = tempfile.mkdtemp() + "/x"
+    spark.range(400_000, numPartitions=8).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5000).alias("k"), F.rand(1).alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    from strata.operators.joins import with_group_stats
+    from strata.streaming import sigma_outliers
+
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for out in (W.sigma_flag(df, ["k"], "v"), W.repeat_flag(df, "k"), sigma_outliers(df, "k", "v"),
+                    with_group_stats(df, ["k"], {"m": F.avg("v")})):
+            out.write.format("noop").mode("overwrite").save()
+            out.collect()
+            assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
