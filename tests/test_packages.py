@@ -1,5 +1,6 @@
 """Industry packages on tiny hand-written landing files (FIXTURES schemas)."""
 
+import math
 import os
 import tempfile
 
@@ -692,3 +693,57 @@ def test_package_mirror(spark, name):
                "transportation": "late_deliveries"}.get(name)
     if counted:                                       # the headline sees the change
         assert sum(r[counted] for r in headline(pkg, after).collect()) == sum(r[counted] for r in got) + 1
+
+
+# ------------------------------------------------------------------ model features
+FEATURE_FIXTURES = {"manufacturing": MANUFACTURING, "retail": RETAIL, "energy": ENERGY, "financial": FINANCIAL,
+                    "healthcare": HEALTHCARE, "hospitality": HOSPITALITY, "construction": CONSTRUCTION, "education": EDUCATION,
+                    "media": MEDIA, "technology": TECHNOLOGY, "professional": PROFESSIONAL, "transportation": TRANSPORTATION}
+#: of the first row by key, worked out by hand from the landing rows
+FIRST_FEATURES = {
+    "manufacturing": {"reading_count": 4.0, "avg_pressure": 100.0, "range_pressure": 2.0},
+    "retail": {"avg_price": 5.0, "unit_cost": 2.0, "margin_pct": 60.0, "week_of_year": 1.0, "demand_lag_1": 0.0},
+    "energy": {"avg_voltage_v": 242.5, "range_voltage_v": 51.0, "voltage_deviation": 12.5, "freq_deviation": 0.0},
+    "financial": {"log_amount": math.log1p(6000), "is_night": 1.0, "balance": 100.0, "segment": "Retail", "risk_tier": "Low"},
+    "healthcare": {"vital_count": 3.0, "abnormal_vital_count": 2.0, "abnormal_vital_ratio": 2 / 3, "dx_chapter": "I"},
+    "hospitality": {"total_stays": 3.0, "star_rating": 5.0, "property_type": "Hotel", "loyalty_tier": "Gold"},
+    "construction": {"budget": 1000000.0, "sub_rating": 4.6, "sub_accredited_flag": 1.0, "project_region": "N"},
+    "education": {"avg_score": 55.0, "pass_rate": 0.5, "assessment_count": 2.0, "programme": "CS"},
+    "media": {"release_year": 2020.0, "monthly_fee": 20.0, "genre": "Drama", "plan_type": "Premium"},
+    "technology": {"user_count": 2.0, "active_user_count": 1.0, "avg_logins_30d": 12.5, "distinct_features": 3.0,
+                   "ticket_count": 2.0, "sla_breach_count": 1.0, "avg_csat": 3.5},
+    "professional": {"lead_grade": "Partner", "lead_experience": 20.0, "contract_value_gbp": 900.0, "tier": "Gold"},
+    "transportation": {"vehicle_age": 11.0, "load_utilisation": 0.5, "departure_hour": 8.0, "is_rush": 1.0, "depot": "North"},
+}
+LEAKS = {"defect_count", "downtime_minutes", "yield_pct", "rating", "pct_complete", "delay_hrs", "actual_spend_gbp", "risk_score"}
+
+
+@pytest.mark.parametrize("name", sorted(FEATURE_FIXTURES))
+def test_package_feature_table(spark, name):
+    from strata.plans.packages.modeling import SPECS, feature_table, run_ml
+
+    spec = SPECS[name]
+    silver = run_package(spark, get(name), _land(FEATURE_FIXTURES[name]))["silver"]
+    f = feature_table(spec, silver)
+    assert {*spec.numeric, *spec.categorical, spec.label, spec.key} <= set(f.columns) and not LEAKS & set(f.columns)
+    got = f.orderBy(spec.key).collect()
+    assert len({r[spec.key] for r in got}) == len(got)  # no fan-out
+    assert not any(v is None for r in got for c, v in r.asDict().items() if c in (*spec.numeric, *spec.categorical))
+    for c, v in FIRST_FEATURES[name].items():
+        assert got[0][c] == (pytest.approx(v) if isinstance(v, float) else v), c
+    with pytest.raises(ValueError, match="label guard"):  # a handful of rows teaches nothing
+        run_ml(spark, spec, silver)
+
+
+def test_package_prediction_summaries(spark):
+    from strata.plans.packages.modeling import SPECS
+
+    p = spark.createDataFrame([("Drama", 1, 1, 0.9, 100.0), ("Drama", 0, 1, 0.5, 50.0), ("News", 0, 0, 0.1, 30.0)],
+                              "genre string, predicted int, had_complete int, probability_positive double, duration_mins double")
+    got = {r.genre: r for r in SPECS["media"].summary(p).collect()}
+    assert (got["Drama"].completion_rate, got["Drama"].avg_complete_probability, got["Drama"].overall_engagement) == (50.0, 0.7, "high")
+    assert got["News"].overall_engagement == "low"
+    d = spark.createDataFrame([("G", "N", 12.0, 5.0, "high_demand", 10.0), ("G", "N", 5.0, 5.0, "stable", 20.0)],
+                              "category string, region string, predicted double, daily_quantity double, demand_signal string, daily_revenue double")
+    r = SPECS["retail"].summary(d).first()
+    assert (r.avg_demand_gap, r.demand_trend, r.high_demand_days, r.total_revenue) == (3.5, "growing", 1, 30.0)
