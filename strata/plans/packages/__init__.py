@@ -19,8 +19,9 @@ import importlib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from strata.operators.quality import project
 from strata.operators.windows import latest_by
 from strata.sources import bronze_stamp, create_view, read_csv
 
@@ -34,7 +35,8 @@ class Package:
     keys: Mapping[str, list[str]]                   # table → key for the silver dedupe
     silver: Callable[[Tables], Tables]
     gold: Callable[[Tables], Tables]
-    views: Mapping[str, str] = field(default_factory=dict)   # view → SQL with {p} table prefix
+    # view → SQL with {p} table prefix, or a function of the silver and gold tables
+    views: Mapping[str, str | Callable[[Tables], DataFrame]] = field(default_factory=dict)
     stream: Mapping[str, str] = field(default_factory=dict)  # table, signal, group, time
     date_cols: Mapping[str, Mapping[str, str | None]] = field(default_factory=dict)
 
@@ -72,10 +74,25 @@ def run_package(spark: SparkSession, pkg: Package, landing: str, batch_id: str =
         df.createOrReplaceTempView(f"{p}{t}")
     for t, df in silver.items():
         df.createOrReplaceTempView(f"{p}silver_{t}")
-    layers["views"] = {v: create_view(spark, f"{p}{v}", sql.format(p=p)) for v, sql in pkg.views.items()}
+    layers["views"] = {}
+    for v, made in pkg.views.items():
+        if callable(made):
+            made(silver | gold).createOrReplaceTempView(f"{p}{v}")
+            layers["views"][v] = spark.table(f"{p}{v}")
+        else:
+            layers["views"][v] = create_view(spark, f"{p}{v}", made.format(p=p))
     return layers
 
 
+def listing(table: str, names: str, where: Column | None = None, **made: Column) -> Callable[[Tables], DataFrame]:
+    """A view that shows columns of a table (P1), of some rows (P8), with ``made`` ones replaced or added."""
+    def view(t: Tables) -> DataFrame:
+        df = t[table] if where is None else t[table].filter(where)
+        return project(df.withColumns(made), names.split())
+
+    return view
+
+
 def stream_queries(pkg: Package, df: DataFrame, k: int = 20) -> Tables:
     """The package's real-time queries (T3–T8) from its stream configuration,
     on a batch or streaming ``df`` of the configured table."""

@@ -8,7 +8,7 @@ from strata.functions import band, flag, map_category, pct, tenure
 from strata.operators.aggregates import kpi, share_of_group, share_of_total, sum_if
 from strata.operators.joins import enrich, scorecard
 from strata.operators.quality import cast_cols, project
-from strata.plans.packages import Package
+from strata.plans.packages import Package, listing
 
 # Grade bands, NPS bands, margin bands, concentration threshold.
 GRADE_BANDS = {"Junior": ["Analyst", "Consultant"], "Mid-Level": ["Senior Consultant", "Manager"]}
@@ -86,18 +86,20 @@ VIEWS = {
                SUM(at_risk_engagements) AS at_risk_engagements, SUM(consultant_count) AS total_consultants,
                ROUND(SUM(total_billed_gbp), 0) AS total_revenue_gbp
         FROM {p}gold_portfolio_scorecards""",
-    "vw_low_margin_projects": """
-        SELECT engagement_id, client_id, practice, status, budget_gbp, actual_spend_gbp, margin_pct, margin_band,
-               overrun_pct
-        FROM {p}gold_project_profitability WHERE margin_pct < 5""",
-    "vw_underutilised_consultants": """
-        SELECT consultant_id, grade, practice, region, grade_band, utilisation_rate_pct, billable_hours,
-               total_billed_gbp
-        FROM {p}gold_consultant_utilisation WHERE utilisation_rate_pct < 60""",
-    "vw_client_revenue_concentration": """
-        SELECT client_id, client_name, tier, industry, total_revenue_gbp, concentration_pct, avg_margin_pct,
-               nps_score, nps_band
-        FROM {p}gold_client_revenue""",
+    "vw_low_margin_projects": listing(
+        "gold_project_profitability",
+        "engagement_id client_id practice status budget_gbp actual_spend_gbp margin_pct "
+        "margin_band overrun_pct",
+        F.col("margin_pct") < 5),
+    "vw_underutilised_consultants": listing(
+        "gold_consultant_utilisation",
+        "consultant_id grade practice region grade_band utilisation_rate_pct billable_hours "
+        "total_billed_gbp",
+        F.col("utilisation_rate_pct") < 60),
+    "vw_client_revenue_concentration": listing(
+        "gold_client_revenue",
+        "client_id client_name tier industry total_revenue_gbp concentration_pct avg_margin_pct "
+        "nps_score nps_band"),
 }
 
 PACKAGE = Package(
