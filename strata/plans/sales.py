@@ -20,6 +20,7 @@ from strata.operators.joins import star
 from strata.operators.ordering import top_k
 from strata.operators.quality import positive
 from strata.operators.windows import latest_by, trend
+from strata.session import materialize
 from strata.plans.catalog import SQL_LINEITEM_LATEST, query, sql_net_units, sql_units, table
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -27,8 +28,11 @@ LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 def silver_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest row per (order, line) by ship date, then positive quantity —
-    dedupe first, then validate (the reference's order)."""
-    li = latest_by(table(spark, sf_dir, "lineitem"), LINE_KEY, ["l_shipdate"])
+    dedupe first, then validate (the reference's order).
+
+    Lines move once, by order: that deals them out for the dedupe as well as
+    for a join with orders."""
+    li = latest_by(table(spark, sf_dir, "lineitem").repartition("l_orderkey"), LINE_KEY, ["l_shipdate"])
     return positive(li, ["l_quantity"])
 
 
@@ -152,8 +156,10 @@ def top_parts_by_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = silver_lineitem(spark, sf_dir)
     per = kpi(li, ["l_partkey"], {"revenue": F.sum(net_units("l_extendedprice", "l_discount")) / F.lit(10000.0),
                                   "lines": F.count(F.lit(1))})
-    # aggregate first, then top-k, then look up names for only k rows
-    top = top_k(per, "revenue", 20, tiebreak=["l_partkey"])
+    # aggregate first, then top-k, written: its 20 keys are then broadcast to
+    # the scan of part, so neither side of the last join is more than 20 rows
+    top = materialize(top_k(per, "revenue", 20, tiebreak=["l_partkey"]), "top-parts")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
-    return top.join(part, "l_partkey", "left")
+    part = part.join(F.broadcast(top.select("l_partkey")), "l_partkey")
+    return top.join(F.broadcast(part), "l_partkey", "left")
 
