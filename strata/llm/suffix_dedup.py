@@ -273,42 +273,62 @@ def _rows(batches, *names: str):
         yield from zip(*[batch.column(n).to_pylist() for n in names], strict=True)
 
 
-ANCHORS = f"{ID}, gram long, ctx long, at long, lo long, hi long"
+ANCHORS = f"{ID}, gram long, ctx long, at long, lo long, hi long, n long"
 
 
 def _anchor_rows(length: int, gram: int):
+    """One row for each context of a document and its count there.  A text
+    that goes on repeating itself has few; where its other occurrences stand
+    follows as spans (rows without a gram, start and stop in lo and hi)."""
     def rows(batches):
         import xxhash
 
         for d, t, b in _rows(batches, "d", "t", "b"):
+            first, more = {}, []
             for found in anchors(b, length, gram):
                 for at, lo, hi, g in zip(*[x.tolist() for x in found], strict=True):
-                    c = xxhash.xxh64_intdigest(b[lo:hi + length], at - lo)
-                    yield d, t, g, c - (1 << 64) if c >> 63 else c, at, lo, hi
+                    key = g, xxhash.xxh64_intdigest(b[lo:hi + length], at - lo)
+                    if key in first:
+                        first[key][3] += 1
+                        more.append((lo, hi + length))
+                    else:
+                        first[key] = [at, lo, hi, 1]
+            for (g, c), (at, lo, hi, n) in first.items():
+                yield d, t, g, c - (1 << 64) if c >> 63 else c, at, lo, hi, n
+            for start, stop in merge_spans(more):
+                yield d, t, None, None, None, start, stop, None
 
     return lambda batches: _batches(rows(batches), ANCHORS)
 
 
-def _met(batches):
+def _met(length: int):
     """Rows sorted by gram and context -> contexts that occur twice (whole),
     and one row of each context of a gram that has several: whole is false for
     a single one, null for a witness, which is repeated anyway but may share
     parts with others.  Holds one row."""
-    first, last, n_run, n_ctx = None, None, 0, 0
-    for d, t, g, c, at, lo, hi in _rows(batches, "d", "t", "gram", "ctx", "at", "lo", "hi"):
-        row, same_gram = (d, t, g, at, lo, hi), first is not None and g == first[2]
-        if same_gram and c == last:
-            n_run += 1
-            if n_run == 2:
-                yield *first, True
-            yield *row, True
-            continue
-        if same_gram or n_ctx > 1:
-            yield *first, False if n_run == 1 else None
-        n_ctx = n_ctx + 1 if same_gram else 1
-        first, last, n_run = row, c, 1
-    if n_ctx > 1:
-        yield *first, False if n_run == 1 else None
+    def rows(batches):
+        first, last, total, n_ctx = None, None, 0, 0
+        for d, t, g, c, at, lo, hi, n in _rows(batches, "d", "t", "gram", "ctx", "at", "lo", "hi", "n"):
+            if g is None:
+                yield d, t, None, None, lo, hi - length, True
+                continue
+            row, same_gram = (d, t, g, at, lo, hi), first is not None and g == first[2]
+            if same_gram and c == last:
+                if total == 1:
+                    yield *first, True
+                yield *row, True
+                total += n
+                continue
+            if same_gram or n_ctx > 1:
+                yield *first, False if total == 1 else None
+            n_ctx = n_ctx + 1 if same_gram else 1
+            first, last, total = row, c, n
+            if n > 1:
+                yield *row, True
+        if n_ctx > 1:
+            yield *first, False if total == 1 else None
+
+    return lambda batches: _batches(rows(batches), FOUND)
 
 
 CONTEXTS = f"{ID}, gram long, at long, lo long, witness boolean, crowded boolean, c binary"
@@ -366,8 +386,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     data = _bytes(docs)
     rows = data.where(F.length("b") >= length).mapInArrow(_anchor_rows(length, gram), ANCHORS)
-    rows = rows.repartition("gram").sortWithinPartitions("gram", "ctx")
-    found = scratch.keep(rows.mapInArrow(lambda batches: _batches(_met(batches), FOUND), FOUND))
+    rows = rows.repartition(F.coalesce("gram", F.xxhash64("d", "lo"))).sortWithinPartitions("gram", "ctx")
+    found = scratch.keep(rows.mapInArrow(_met(length), FOUND))
     whole = found.where("whole").select("d", "t", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
 
     parts = found.where("whole IS NULL OR NOT whole")
