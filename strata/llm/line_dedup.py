@@ -18,9 +18,11 @@ lines are keyed instead by all of the line but one piece of eight characters:
 one edit lies in one piece, so the rest agrees, and few lines do.
 
 Defined results: a null or empty text has no lines to remove; a null doc_id
-comes after all others; rows that repeat a doc_id and text are the same
-document, each row gets its result; an empty table gives an empty result;
-other columns are dropped (``dedup_documents`` keeps those named).
+comes after all others; a document is a doc_id (or none) and a text: rows that
+repeat both are one document and each gets its result, rows with one doc_id
+and different texts are documents of their own, in the order of the texts'
+hashes; an empty table gives an empty result; other columns are dropped
+(``dedup_documents`` keeps those named).
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from strata.llm.common import Scratch, only
 MIN_CHARS = 30
 BUCKET = 256
 PIECE = 8
-LAST = (1 << 63) - 1  # the place of a null doc_id
+LAST = (1 << 63) - 1  # the place of a null doc_id in SQL
 
 
 def _part(c: Column, start, stop) -> Column:
@@ -41,10 +43,16 @@ def _part(c: Column, start, stop) -> Column:
     return F.substr(c, F.lit(1) + start, F.greatest(stop - start, F.lit(0)))
 
 
+def _document() -> Column:
+    """A document's identity, null doc_ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                    F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
 def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """d, line, text of each line long enough."""
     t = only(docs, "doc_id", "text")
-    return t.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.posexplode(F.split("text", "\n")).alias("line", "text")
+    return t.select(_document().alias("d"), F.posexplode(F.split("text", "\n")).alias("line", "text")
                     ).where((F.length("text") >= min_chars) & F.col("text").rlike(r"\S"))
 
 
@@ -152,7 +160,7 @@ def _by_document(docs: DataFrame, min_chars: int) -> DataFrame:
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers from 0, comma-joined)."""
     rows = only(docs, "doc_id", "text").select(
-        "doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+        "doc_id", _document().alias("d"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     return rows.join(_by_document(docs, min_chars), "d", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
@@ -160,7 +168,7 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), min_chars: int = MIN_CHARS) -> DataFrame:
     """The ``keep`` columns, text without the lines that go."""
-    rows = docs.select(*keep).withColumn("__d", F.coalesce("doc_id", F.lit(LAST)))
+    rows = docs.select(*keep).withColumn("__d", _document())
     gone = _by_document(docs, min_chars).withColumnRenamed("d", "__d").withColumnRenamed("removed", "__removed")
     lines = F.split("text", "\n")
     left = F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(

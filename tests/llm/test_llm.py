@@ -342,6 +342,20 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch, bucket):
     assert got == want and any(want.values())
 
 
+def test_line_dedup_keeps_documents_without_an_id_apart(spark):
+    from strata.llm.line_dedup import dedup_documents, line_report
+
+    x, u1, u2, y, z, p, q, r = (c * 40 for c in "xuvyzpqr")
+    made = [(None, f"{u1}\n{x}"), (None, f"{u2}\n{y}"), (5, x), (7, f"{z}\n{x}"), (7, f"{'w' * 40}\n{'t' * 40}"),
+            (None, f"{p}\n{q}"), (None, f"{r}\n{q}")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    new = {tuple(r) for r in dedup_documents(df).collect()}
+    assert new >= {(None, u1), (None, f"{u2}\n{y}"), (5, x), (7, z), made[4]}
+    assert new - {(None, u1), (None, f"{u2}\n{y}"), (5, x), (7, z), made[4]} in (
+        {(None, f"{p}\n{q}"), (None, r)}, {(None, p), (None, f"{r}\n{q}")})
+    assert sorted(r["n_removed"] for r in line_report(df).collect()) == [0, 0, 0, 0, 1, 1, 1]
+
+
 def test_chat_windows(spark):
     from strata.llm.chat import chat_digests, chat_windows
 
