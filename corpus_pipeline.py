@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier place has (or almost has)."""
-    return dedup_documents(docs, keep=COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, without lines that an earlier place has (or has but for a character or a word)."""
+    return dedup_documents(docs, keep=COLUMNS, words=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

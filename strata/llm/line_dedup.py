@@ -17,6 +17,14 @@ A key with more than ``BUCKET`` rows (a common half line) is not paired.  Its
 lines are keyed instead by all of the line but one piece of eight characters:
 one edit lies in one piece, so the rest agrees, and few lines do.
 
+With ``words`` (the pipeline) a line also goes if an earlier one becomes equal
+by one word put in, left out or replaced, if that word and its space are at
+most ``WORD`` characters and at most a tenth of the rest.  Half of such a line
+stays, counted in words, so lines without a half in common drop out.  The
+others are keyed by their line without each word in turn, and as they are with
+a gap at each place; of equal keys all but the least place go, so a common
+line makes no pairs.
+
 Defined results: a null or empty text has no lines to remove; a null doc_id
 comes after all others; a document is a doc_id (or none) and a text: rows that
 repeat both are one document and each gets its result, rows with one doc_id
@@ -35,6 +43,8 @@ from strata.llm.common import Scratch, only
 MIN_CHARS = 30
 BUCKET = 256
 PIECE = 8
+WORD = 20
+BLOCK = 256
 LAST = (1 << 63) - 1  # the place of a null doc_id in SQL
 
 
@@ -120,7 +130,65 @@ def within_edits(a: Column, b: Column, edits: int = 1) -> Column:
     return F.when(F.abs(gap) > edits, F.lit(False)).otherwise(hit != 0)
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def word_halves(lines: DataFrame) -> DataFrame:
+    """key, d, line of the two halves in words, as segment_keys."""
+    w = F.split("text", " ")
+    n = F.size(w)
+
+    def keys(n: Column, shift: int):
+        half = F.floor(n / 2).cast("int")
+        return [F.xxhash64(F.lit(i), n, part) for i, part in enumerate((
+            F.slice(w, F.lit(1), half), F.slice(w, half + 1 + shift, n - half)))]
+
+    return lines.select("d", "line", F.explode(F.array(*keys(n, 0), *keys(n - 1, 1))).alias("key"))
+
+
+def _bind(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(parts: Column) -> Column:
+    """Hashes of the first 0, 1, ... parts; in blocks, so that a line of very
+    many words is not copied once for each."""
+    scan = lambda x: F.aggregate(x, F.array(F.lit(0).cast("long")), lambda s, v: F.concat(
+        s, F.array(F.xxhash64(F.element_at(s, -1), v))))
+
+    def whole(blocks):
+        return _bind(scan(F.transform(blocks, lambda b: F.element_at(b, -1))), lambda before: F.flatten(F.transform(
+            blocks, lambda b, i: F.transform(F.slice(b, 1, BLOCK), lambda x: F.xxhash64(F.get(before, i), x)))))
+
+    return _bind(parts, lambda ps: _bind(F.transform(F.sequence(F.lit(0), F.floor(F.size(ps) / BLOCK).cast("int")), lambda i: scan(
+        F.slice(ps, i * BLOCK + 1, F.lit(BLOCK)))), whole))
+
+
+def word_keys(lines: DataFrame) -> DataFrame:
+    """before, after (hashes), d, line: the line without each word that may
+    change, and with a gap at each place."""
+    w = F.split("text", " ")
+    rows = lines.select("d", "line", "text", w.alias("w"), _running(w).alias("up"), _running(F.reverse(w)).alias("down"))
+    n, size = F.size("w"), F.length("text")
+    key = lambda i, after: F.struct(F.get("up", i).alias("before"), F.get("down", after).alias("after"))
+
+    def short(x):
+        return (F.length(x) + 1 <= WORD) & ((F.length(x) + 1) * 10 <= size - F.length(x) - 1)
+
+    without = F.filter(F.transform("w", lambda x, i: F.when(short(x), key(i, n - 1 - i))), lambda k: k.isNotNull())
+    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: key(i, n - i))
+    return rows.select("d", "line", F.explode(F.concat(without, gaps)).alias("k")).select("k.before", "k.after", "d", "line")
+
+
+def near_by_word(one: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, line of the distinct lines that are one word away from an earlier one."""
+    halves = word_halves(one)
+    sizes = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    some = scratch.keep(halves.join(sizes, "key").select("d", "line").distinct())
+    keyed = scratch.keep(word_keys(one.join(some, ["d", "line"])))
+    first = keyed.groupBy("before", "after").agg(F.min(F.struct("d", "line")).alias("at"), F.count(F.lit(1)).alias("n"))
+    return keyed.join(first.where("n > 1"), ["before", "after"]).where(F.struct("d", "line") > F.col("at")).select("d", "line").distinct()
+
+
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
     """d, line of every line that goes."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = document_lines(docs, min_chars)
@@ -143,6 +211,8 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     a_later = (F.col("ad") > F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("al") > F.col("bl")))
     near = near.select(F.when(a_later, F.col("ad")).otherwise(F.col("bd")).alias("d"),
                        F.when(a_later, F.col("al")).otherwise(F.col("bl")).alias("line")).distinct()
+    if words:
+        near = near.unionByName(near_by_word(one, scratch)).distinct()
     near = scratch.keep(near.withColumn("near", F.lit(True)))
 
     state = scratch.keep(first.join(near, ["d", "line"], "left").select(
@@ -152,9 +222,9 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.select("d", "line").distinct()
 
 
-def _by_document(docs: DataFrame, min_chars: int) -> DataFrame:
+def _by_document(docs: DataFrame, min_chars: int, words: bool = False) -> DataFrame:
     """d and the ascending numbers of the lines that go; one document's lines at most."""
-    return removed_lines(docs, min_chars).groupBy("d").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    return removed_lines(docs, min_chars, words).groupBy("d").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -166,10 +236,11 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
-def dedup_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), min_chars: int = MIN_CHARS,
+                    words: bool = False) -> DataFrame:
     """The ``keep`` columns, text without the lines that go."""
     rows = docs.select(*keep).withColumn("__d", _document())
-    gone = _by_document(docs, min_chars).withColumnRenamed("d", "__d").withColumnRenamed("removed", "__removed")
+    gone = _by_document(docs, min_chars, words).withColumnRenamed("d", "__d").withColumnRenamed("removed", "__removed")
     lines = F.split("text", "\n")
     left = F.element_at(F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(
         F.sequence(F.lit(0), F.size(x) - 1), F.col("__removed")), lambda i: x[i]), "\n")), 1)

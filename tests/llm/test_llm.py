@@ -356,6 +356,55 @@ def test_line_dedup_keeps_documents_without_an_id_apart(spark):
     assert sorted(r["n_removed"] for r in line_report(df).collect()) == [0, 0, 0, 0, 1, 1, 1]
 
 
+def test_line_dedup_by_one_word(spark):
+    from strata.llm.line_dedup import dedup_documents
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(8, 30))] for _ in range(8)]
+
+    def line():
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            at = rng.randint(0, len(w))
+            w[at:at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(vocabulary)]])
+        return " ".join(w)
+
+    made = [(i, "\n".join(line() for _ in range(4))) for i in range(30)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(1500))
+    made += [(60, long), (61, long.replace(" ", " a ", 1)), (62, f"{long[:5000]} bc {long[5000:]}"), (63, f"{long} d")]
+    made += [(100 + i, f"order of {'many quite plain words ' * 6}placed on 2024-01-{i:02d} by a customer") for i in range(30)]
+
+    def word_away(a, b):
+        a, b = sorted((a.split(" "), b.split(" ")), key=len)
+        for i in range(len(b)):
+            rest = b[:i] + b[i + 1:]
+            changed = [b[i]] if rest == a else [b[i], a[i]] if len(a) == len(b) and rest == a[:i] + a[i + 1:] else None
+            n = len(" ".join(rest))
+            if changed and all(len(c) + 1 <= 20 and (len(c) + 1) * 10 <= n for c in changed):
+                return True
+        return False
+
+    from tests.llm.plain import distance
+
+    seen, want, by_word = [], {}, 0
+    for d, t in made:
+        left = []
+        for s in t.split("\n"):
+            if len(s) >= 30:
+                char = any(abs(len(s) - len(o)) < 2 and distance(s, o) <= 1 for o in seen)
+                word = any(word_away(s, o) for o in seen)
+                by_word += word and not char
+                seen.append(s)
+                if char or word:
+                    continue
+            left.append(s)
+        want[d] = "\n".join(left)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in dedup_documents(df, words=True).collect()} == want and by_word > 20
+    assert sum(bool(want[100 + i]) for i in range(30)) == 1
+
+
 def test_chat_windows(spark):
     from strata.llm.chat import chat_digests, chat_windows
 
