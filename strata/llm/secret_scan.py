@@ -157,19 +157,24 @@ class Automaton:
 class Formats:
     """Credential automata against that of ordinary words.
 
-    ``floor``: bits per character that a credential's format allows at least;
+    ``floor``: bits per character that are plausible for every format; what an
+    automaton gives all but the least hundredth of its own examples is so too
+    (random keys of many classes have more than 2 bits a character);
     ``margin``: bits per character by which it must beat ordinary words."""
 
     def __init__(self, examples: dict[str, list[str]], floor: float = -2.0, margin: float = 0.5):
-        self.credentials = [Automaton(v) for k, v in sorted(examples.items()) if k not in WORDS]
+        self.credentials = []  # (automaton, its floor)
+        for _, v in sorted((k, v) for k, v in examples.items() if k not in WORDS and v):
+            a = Automaton(v)
+            self.credentials.append((a, min(floor, sorted(map(a.score, v))[len(v) // 100])))
         self.words = [Automaton(examples[k], unseen=math.log2(1e-3)) for k in WORDS if examples.get(k)]
-        self.floor, self.margin, self.memo = floor, margin, {}
+        self.margin, self.memo = margin, {}
 
     def secret(self, token: str) -> bool:
         known = self.memo.get(token)
         if known is None:
-            best = max((a.score(token) for a in self.credentials), default=-math.inf)
-            known = best >= self.floor and best >= self.margin + max((a.score(token) for a in self.words), default=-math.inf)
+            best = max((s for a, floor in self.credentials if (s := a.score(token)) >= floor), default=-math.inf)
+            known = best > -math.inf and best >= self.margin + max((a.score(token) for a in self.words), default=-math.inf)
             if len(self.memo) >= 100_000:
                 self.memo.clear()
             self.memo[token] = known

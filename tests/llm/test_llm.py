@@ -196,6 +196,24 @@ def test_formats_find_a_secret_without_its_keyword():
     assert scan(text, f) == [(5, 3, "format", 32)]
 
 
+@pytest.mark.parametrize("size", [20, 36, 40, 64])
+@pytest.mark.parametrize("extra", ["", "+/"])
+def test_formats_find_random_keys_of_many_classes(size, extra):
+    import string
+
+    from strata.llm.secret_scan import Formats, scan
+
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits + extra) for _ in range(size))
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(12, 18))) for _ in range(300)]
+    f = Formats({"assign": [key() for _ in range(200)], "word": words, "capitals": [w.upper() for w in words]})
+    found = [scan(f"use {key()} here", f) == [(4, 3, "format", 4 + size)] for _ in range(300)]
+    assert sum(found) >= 280
+    assert not any(scan(w, f) for w in words)
+    plain = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(12, 18))) for _ in range(300)]
+    assert not any(scan(x, f) for w in plain for x in (w, w.upper(), w.capitalize(), f"{w[:6]}-{w[6:]}"))
+
+
 def _repeats(texts, length):
     seen = collections.Counter()
     data = [(d, t.encode()) for d, t in texts]
