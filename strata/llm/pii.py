@@ -33,7 +33,13 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signo
 ANY = ("Dr", "Prof", "Mx")
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}-\d{3}-\d{4})(?!\d)"
+# +cc and groups (one of a digit is followed by more); with a trunk zero, French pairs, then others of 9 to 12 digits that are
+# no date or IP; ddd ddd dddd; Spanish nine digits
+PHONE = (r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d(?:[ .-]\d{2,4}){2,4}|\d{2,4}(?:[ .-]?\d{2,4}){1,4})"
+         r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}-\d{3}-\d{4}"
+         r"|(?<![\p{L}\d+])(?<!\d[.-])(?!\d(?:[ -]?\d){12,18}(?!\d))(?:0[1-9](?:(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4}|\d{8})(?![\d\p{L}])"
+         r"|(?!\d{1,2}[./-]\d{1,2}[./-]\d{4})(?!(?:\d{1,3}\.){3}\d{1,3}(?![\d.]))0[1-9](?:[ ./-]?\d){7,10}(?![\d\p{L}])"
+         r"|\d{3}(?:\.\d{3}\.| \d{3} )\d{4}|[6-9]\d{2}(?: \d{3} \d{3}|-\d{3}-\d{3})|[6-9]\d{2}(?: \d{2}){3}|[89]\d \d{3} \d{2} \d{2}))(?!\d)")
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 NAME = r"(?<!\p{L})(?:" + "|".join(MALE + FEMALE + ANY) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"

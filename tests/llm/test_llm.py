@@ -466,6 +466,26 @@ def test_pii_surrogates_stay_distinct_and_consistent(spark):
         assert len({re.search(pattern, got[10 + i])[1] for i in range(100)}) == 100
 
 
+def test_pii_phones_of_each_language(spark):
+    from strata.llm.pii import pii_surrogates
+
+    phones = ["+33 6 12 34 56 78", "+33 1 42 68 53 00", "+33 (0)6 12 34 56 78", "06 12 34 56 78", "06.12.34.56.78", "0612345678",
+              "030 1234567", "0170/1234567", "+49 30 1234567", "612 345 678", "612 34 56 78", "91 123 45 67", "+34 612 345 678",
+              "555.123.4567", "555 123 4567", "555-123-4567", "(555) 123-4567", "+1 (830) 555-5433"]
+    other = ["01.02.2024 12 Uhr", "0.123456789", "0123456789abcdef", "2024-01-02", "1 234 567", "3.141.592", "in 1999 200 300"]
+    made = [(i, f"Tel: {p}, ok") for i, p in enumerate(phones)] + [(100 + i, x) for i, x in enumerate(other)]
+    made += [(200, "4111 1111 1111 1111"), (201, "10.20.30.40"), (202, "06 12 34 56 78/06 98 76 54 32,0655443322")]
+    got = {r["doc_id"]: r for r in pii_surrogates(spark.createDataFrame(made, "doc_id long, text string"), "k").collect()}
+    for i, p in enumerate(phones):
+        new = got[i]["text"]
+        assert got[i]["n_phone"] == 1 and p not in new, p
+        assert re.sub(r"\d", "#", new) == re.sub(r"\d", "#", f"Tel: {p}, ok")
+    for i, x in enumerate(other):
+        assert got[100 + i]["text"] == x
+    assert got[200]["n_card"] == got[201]["n_ip"] == 1
+    assert got[202]["n_phone"] == 3
+
+
 def test_pii_redraws_what_is_taken(spark, monkeypatch):
     from strata.llm import pii
 
