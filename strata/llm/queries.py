@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.bpe import encode_digests, load_ranks
+from strata.llm.centroid_clusters import centroid_clusters, clusters_sql
 from strata.llm.chat import chat_digests, chat_sql, chat_windows
 from strata.llm.common import read
 from strata.llm.decontaminate import leaks
@@ -14,6 +15,7 @@ from strata.llm.quality_model import quality_scores
 from strata.llm.quality_rules import quality_rules, rules_sql
 from strata.llm.secret_scan import secret_spans
 from strata.llm.simhash import simhash_groups
+from strata.llm.spelling import spelling_variants
 from strata.llm.suffix_dedup import suffix_dedup
 
 
@@ -68,7 +70,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"), min_length=5, min_count=3, every=97, times=2)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dim=64, scale=1024)
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_secret_scan, op4_suffix_dedup,
-                                   op5_quality_model, op6_pii_surrogates, op7_byte_bpe, op8_line_dedup, op9_chat_format, op10_decontamination)}
+                                   op5_quality_model, op6_pii_surrogates, op7_byte_bpe, op8_line_dedup, op9_chat_format, op10_decontamination,
+                                   op11_spelling_variants, op13_centroid_clusters)}
 ORACLE_SQL = {"op1_quality_rules": rules_sql(), "op8_line_dedup": line_report_sql(),
-              "op9_chat_format": chat_sql()}
+              "op9_chat_format": chat_sql(), "op13_centroid_clusters": clusters_sql()}
