@@ -9,6 +9,7 @@ from strata.llm.centroid_clusters import centroid_clusters, clusters_sql
 from strata.llm.chat import chat_digests, chat_sql, chat_windows
 from strata.llm.common import read
 from strata.llm.decontaminate import leaks
+from strata.llm.jaccard_join import jaccard_groups
 from strata.llm.line_dedup import line_report, line_report_sql
 from strata.llm.pii import pii_surrogates
 from strata.llm.quality_model import quality_scores
@@ -74,12 +75,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"), min_length=5, min_count=3, every=97, times=2)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dim=64, scale=1024)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_secret_scan, op4_suffix_dedup,
                                    op5_quality_model, op6_pii_surrogates, op7_byte_bpe, op8_line_dedup, op9_chat_format, op10_decontamination,
-                                   op11_spelling_variants, op13_centroid_clusters)}
+                                   op11_spelling_variants, op12_jaccard_join, op13_centroid_clusters)}
 ORACLE_SQL = {"op1_quality_rules": rules_sql(), "op8_line_dedup": line_report_sql(),
               "op9_chat_format": chat_sql(), "op13_centroid_clusters": clusters_sql()}
