@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import Scratch, only, shared
 from strata.llm.components import components
 
-SKETCH = 1024  # bits of a parity sketch
+SKETCH = 256  # bits of a parity sketch; doubled until they are half a set's shingles
 QUARTER = -(1 << 63) + (1 << 62)  # signed hashes below it are a quarter
 FREQUENT = 100_000  # shingles that the order puts last
 CHUNK = 1 << 20  # bytes of text hashed at once
@@ -130,7 +130,43 @@ class Shingles:
 def sketch(s):
     import numpy as np
 
-    return np.packbits((np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8))
+    bits = SKETCH << (max(len(s) - 1, 0) // (2 * SKETCH)).bit_length()
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8))
+
+
+class Sketches:
+    """Parity sketches of several widths; of two, the wider is folded."""
+
+    def __init__(self, sketches: list[bytes]):
+        import numpy as np
+
+        self.width = np.array([len(x) for x in sketches])
+        self.at, self.rows = {}, {}
+        wider = np.zeros(0, dtype=np.int64), None
+        for w in sorted(set(self.width.tolist()), reverse=True):
+            own = np.flatnonzero(self.width == w)
+            bits = np.frombuffer(b"".join(sketches[i] for i in own), dtype=np.uint64).reshape(len(own), -1)
+            if len(wider[0]):
+                folded = wider[1]
+                while folded.shape[1] > bits.shape[1]:
+                    half = folded.shape[1] // 2
+                    folded = folded[:, :half] ^ folded[:, half:]
+                own, bits = np.concatenate((own, wider[0])), np.concatenate((bits, folded))
+            self.rows[w] = bits
+            self.at[w] = np.zeros(len(sketches), dtype=np.int64)
+            self.at[w][own] = np.arange(len(own))
+            wider = own, bits
+
+    def differ(self, x, y):
+        """Bits in which rows x and y differ."""
+        import numpy as np
+
+        x, y = np.broadcast_arrays(x, y)
+        width, out = np.minimum(self.width[x], self.width[y]), np.zeros(len(x), dtype=np.int64)
+        for w in np.unique(width).tolist():
+            m = np.flatnonzero(width == w)
+            out[m] = np.bitwise_count(self.rows[w][self.at[w][x[m]]] ^ self.rows[w][self.at[w][y[m]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -231,14 +267,15 @@ class Forest:
         return a != b
 
 
-def possible(n1, n2, p1, p2, bits, percent):
-    """Whether sets of these sizes, with a shingle at these places of their
-    prefixes and sketches that differ in so many bits, may link."""
+def possible(n1, n2, p1, p2, percent):
+    """The shingles in which sets of these sizes may differ if they link; less
+    than none where the sizes and the places of a shared shingle rule a link out."""
     import numpy as np
 
     need = -(-percent * (n1 + n2) // (100 + percent))
     most = np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)
-    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (most >= need) & (bits() <= n1 + n2 - 2 * need)
+    ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (most >= need)
+    return np.where(ok, n1 + n2 - 2 * need, -1)
 
 
 def _grid(df: DataFrame, sizes: DataFrame, key: str, most: int) -> DataFrame:
@@ -290,7 +327,10 @@ def candidate_forest(cells: DataFrame, percent: int) -> DataFrame:
             # a grid's cell compares its two blocks with each other, or a block with itself
             ok = (block[0][x] == block[1][x]) | (block[2][x] != block[2][y])
             x, y = x[ok], y[ok]
-            near = possible(n[x], n[y], pos[x], pos[y], lambda: np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64), percent)
+            may = possible(n[x], n[y], pos[x], pos[y], percent)
+            ok = may >= 0
+            x, y, may = x[ok], y[ok], may[ok]
+            near = bits.differ(x, y) <= may
             for a, b in zip(sid[x[near]].tolist(), sid[y[near]].tolist(), strict=True):
                 if forest.join(a, b):
                     out.append((a, b))
@@ -305,8 +345,7 @@ def candidate_forest(cells: DataFrame, percent: int) -> DataFrame:
         def columns(parts):
             cols = [np.array([v for p in parts for v in p[k]], dtype=np.int64) for k in range(7)]
             group = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            bits = np.frombuffer(b"".join(v for p in parts for v in p[7]), dtype=np.uint64).reshape(-1, SKETCH // 64)
-            return group, (cols[1], cols[2], cols[3]), cols[4], cols[5], cols[6], bits
+            return group, (cols[1], cols[2], cols[3]), cols[4], cols[5], cols[6], Sketches([v for p in parts for v in p[7]])
 
         def together(parts):
             c = columns(parts)
@@ -353,17 +392,17 @@ def exact_stars(cells: DataFrame, words: int, percent: int) -> DataFrame:
             sets = list(make(part[5]))
             part[5] = None
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            bits = np.array([sketch(s) for s in sets])
-            middle = np.packbits(2 * np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64) > len(sets))
-            order = np.argsort(np.bitwise_count(bits ^ middle).sum(axis=1, dtype=np.int64), kind="stable")
-            words64 = bits.view(np.uint64)
+            bits = Sketches([sketch(s).tobytes() for s in sets])
+            narrow = bits.rows[bits.width.min()].view(np.uint8)[bits.at[bits.width.min()]]
+            middle = np.packbits(2 * sum(np.unpackbits(x).astype(np.int32) for x in narrow) > len(sets))
+            order = np.argsort(np.bitwise_count(narrow ^ middle).sum(axis=1, dtype=np.int64), kind="stable")
             sid, joined = np.array(part[4], dtype=np.int64), np.arange(len(sets))
             for at in range(1, len(order)):
                 x, y = order[at], order[:at]  # the most central first
                 if not inner:
                     y = y[block[y] != block[x]]
                 need = -(-percent * (n[x] + n[y]) // (100 + percent))
-                differ = np.bitwise_count(words64[x] ^ words64[y]).sum(axis=1, dtype=np.int64)
+                differ = bits.differ(x, y) if len(y) else need
                 ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (differ <= n[x] + n[y] - 2 * need)
                 y, need = y[ok], need[ok]
                 while len(y):
@@ -390,24 +429,29 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, cell: int
     scratch = Scratch(spark, "jaccard")
     made = scratch.keep(shingle_rows(docs, words, percent))
     rows = scratch.keep(made.select("doc_id", "n", "sid"))
-    counts = made.select(F.explode("low").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    counts = scratch.keep(made.select(F.explode("low").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     frequent = counts.where("c >= 16").orderBy(F.desc("c"), "h").limit(FREQUENT).collect()  # bounded by the limit
     one = lambda c: F.any_value(c).alias(c)  # noqa: E731 — the same in every row of the set
     sets = scratch.keep(prefixes(made.where("n > 0"), [tuple(r) for r in frequent], percent).groupBy("sid").agg(
         F.min("doc_id").alias("first"), F.min("k").alias("k"), one("n"), one("sketch"), one("g"), one("prefix")))
     scratch.drop(made)
 
-    # groups: one row of prefix shingles each, wherever another group, or another set of it, shares them
+    # groups: one row of prefix shingles each, wherever another group, or another set of it, shares them.
+    # Only shingles counted twice or more can be shared; of those beyond the quarter nothing is known.
     many = scratch.keep(sets.groupBy("g").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"))
-    heads = sets.join(many, "g", "left").where("head IS NULL OR head = sid")
-    held = heads.select("g", "members", F.posexplode("prefix").alias("pos", "h"))
-    known = held.groupBy("h").agg(F.count(F.lit(1)).alias("groups"), F.max("members").alias("most")).where("groups > 1 OR most > 1")
-    near = held.join(known, "h").where("groups > 1 OR pos = 0").select("g", "h", "pos")
-    expanded = scratch.keep(near.join(sets.select("g", "sid", "n", "sketch"), "g").select("h", "sid", "n", "pos", "sketch"))
-    sizes = scratch.keep(expanded.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cell))
+    heads = sets.select("g", "sid", "prefix").join(many, "g", "left").where("head IS NULL OR head = sid")
+    held = heads.select("g", F.posexplode("prefix").alias("pos", "h"))
+    again = heads.where("members > 1").select("g", F.lit(0).alias("pos"), F.col("prefix")[0].alias("h"))
+    repeated = scratch.keep(held.where(F.col("h") < QUARTER).join(counts.select("h").hint("merge"), "h", "leftsemi").select("g", "pos", "h")
+                            .unionByName(held.where(F.col("h") >= QUARTER)).unionByName(again))
+    known = repeated.join(many.select("g", "members"), "g", "left").groupBy("h").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce("members", F.lit(1))).alias("size")).where("rows > 1")
+    near = scratch.keep(repeated.join(known, "h").select("g", "h", "pos", "size").distinct())
+    sizes = scratch.keep(near.where(F.col("size") > cell).select("h", "size").distinct())
+    expanded = near.select("g", "h", "pos").join(sets.select("g", "sid", "n", "sketch").hint("merge"), "g").select("h", "sid", "n", "pos", "sketch")
     cells = _grid(expanded, sizes, "h", cell).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     trees = scratch.keep(_with_roots(components(candidate_forest(cells, percent), scratch)))
-    scratch.drop(expanded)
+    scratch.drop(near)
 
     # every tree's sets once, by the text of one row each
     wanted = scratch.keep(trees.select(F.col("node").alias("sid"), F.col("root").alias("tree")).join(sets.select("sid", "k", "n"), "sid"))

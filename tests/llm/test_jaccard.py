@@ -113,3 +113,16 @@ def test_hashes_stand_for_shingles():
         names.setdefault(shingles(t), set()).add(s.tobytes())
         codes.setdefault(s.tobytes(), set()).add(shingles(t))
     assert all(len(v) == 1 for v in names.values()) and all(len(v) == 1 for v in codes.values())
+
+
+def test_sketches_of_several_widths_never_pass_the_true_difference():
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(-2 ** 63, 2 ** 63 - 1, n)) for n in (3, 2000, 2100, 5000, 9000)]
+    sets += [np.unique(np.concatenate((s[5:], rnd.integers(-2 ** 63, 2 ** 63 - 1, 7)))) for s in sets]
+    bits = J.Sketches([J.sketch(s).tobytes() for s in sets])
+    assert sorted(set((bits.width * 8).tolist())) == [256, 1024, 2048, 4096, 8192]
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(10), np.arange(10)))
+    got = bits.differ(x, y)
+    for i, j, d in zip(x, y, got, strict=True):
+        true = len(np.setxor1d(sets[i], sets[j]))
+        assert d <= true and (d - true) % 2 == 0 and (true > 40 or d >= true - 6)
