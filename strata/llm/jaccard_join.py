@@ -46,6 +46,7 @@ from strata.llm.components import components
 SKETCH = 256  # bits of a parity sketch; doubled until they are half a set's shingles
 QUARTER = -(1 << 63) + (1 << 62)  # signed hashes below it are a quarter
 FREQUENT = 100_000  # shingles that the order puts last
+SLOTS = 1 << 20  # of row keys: bounds the list that is sent to find the rows whose text is needed
 CHUNK = 1 << 20  # bytes of text hashed at once
 SMALL = 64  # sets of a shingle up to which shingles are treated together
 
@@ -456,7 +457,10 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, cell: int
     # every tree's sets once, by the text of one row each
     wanted = scratch.keep(trees.select(F.col("node").alias("sid"), F.col("root").alias("tree")).join(sets.select("sid", "k", "n"), "sid"))
     sizes = scratch.keep(wanted.groupBy("tree").agg(F.sum("n").alias("size")).where(F.col("size") > tokens))
-    texts = _keyed(docs).join(wanted, "k").groupBy("tree", "sid").agg(F.any_value("text").alias("text"))
+    # a first look by slots of the row's key, at most SLOTS of them, spares most other texts the shuffle
+    slots = wanted.select(F.pmod("k", F.lit(SLOTS)).alias("slot")).distinct()
+    texts = _keyed(docs).withColumn("slot", F.pmod("k", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "leftsemi")
+    texts = texts.join(wanted.hint("merge"), "k").groupBy("tree", "sid").agg(F.any_value("text").alias("text"))
     cells = _grid(texts, sizes, "tree", tokens).repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j")
     comp = scratch.keep(_with_roots(components(exact_stars(cells, words, percent), scratch)))
 
