@@ -69,10 +69,15 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = (),
                 overwrite_schema: bool = True, fmt: str = "parquet") -> None:
-    """Full-refresh write as a managed table."""
+    """Full-refresh write as a managed table, replaced with its schema
+    (``overwrite_schema=False`` raises where the schema would change).  Readers
+    see the table missing while it is replaced; ``publish`` has no such gap."""
+    spark = df.sparkSession
+    if mode == "overwrite" and not overwrite_schema and spark.catalog.tableExists(name):
+        old = [(f.name, f.dataType) for f in spark.table(name).schema]
+        if sorted(old, key=str) != sorted([(f.name, f.dataType) for f in df.schema], key=str):
+            raise ValueError(f"the schema of {name} would change")
     w = df.write.mode(mode).format(fmt)
-    if overwrite_schema:
-        w = w.option("overwriteSchema", "true")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)
@@ -162,15 +167,20 @@ def compact(df: DataFrame, path: str, target_files: int | None = None, sort_cols
             fmt: str = "parquet", file_bytes: int = 512 << 20) -> DataFrame:
     """Rewrite a table into files of about ``file_bytes`` (or at most
     ``target_files`` files), sorted within files for better min/max skipping.
-    Writes to ``path`` (a new location; the caller swaps names) and returns
-    the rewritten table."""
+    Writes to ``path`` (a new location) and returns the rewritten table;
+    ``publish.compact_published`` also switches a published table to it."""
+    sized_files(df, sort_cols, file_bytes=file_bytes, target_files=target_files).write.mode("overwrite").format(fmt).save(path)
+    return df.sparkSession.read.format(fmt).load(path)
+
+
+def sized_files(df: DataFrame, sort_cols: Sequence[str] = (), file_bytes: int = 512 << 20,
+                target_files: int | None = None) -> DataFrame:
+    """``df`` in as many partitions as make files of about ``file_bytes``, sorted within."""
     if target_files is None:
         target_files = max(1, -(-stored_bytes(df) // file_bytes))
-    out = df.repartitionByRange(target_files, *sort_cols) if sort_cols else df.repartition(target_files)
     if sort_cols:
-        out = out.sortWithinPartitions(*sort_cols)
-    out.write.mode("overwrite").format(fmt).save(path)
-    return df.sparkSession.read.format(fmt).load(path)
+        return df.repartitionByRange(target_files, *sort_cols).sortWithinPartitions(*sort_cols)
+    return df.repartition(target_files)
 
 
 # ------------------------------------------------------------------ S12-S15
