@@ -14,8 +14,9 @@ join.  Candidates are verified exactly by a bit-parallel automaton over the
 band of three diagonals.
 
 A key with more than ``BUCKET`` rows (a common half line) is not paired.  Its
-lines are keyed instead by all of the line but one piece of eight characters:
-one edit lies in one piece, so the rest agrees, and few lines do.
+lines are keyed instead by the line without each character in turn and by the
+line with a gap at each place: lines that share such a key are one edit apart,
+all of them, so all but the least place go and no pair is made.
 
 With ``words`` (the pipeline) a line also goes if an earlier one becomes equal
 by one word put in, left out or replaced, if that word and its space are at
@@ -42,7 +43,6 @@ from strata.llm.common import Scratch, only
 
 MIN_CHARS = 30
 BUCKET = 256
-PIECE = 8
 WORD = 20
 BLOCK = 256
 LAST = (1 << 63) - 1  # the place of a null doc_id in SQL
@@ -79,19 +79,6 @@ def segment_keys(lines: DataFrame) -> DataFrame:
     return rows.select("k.key", "k.indexed", "d", "line")
 
 
-def piece_keys(lines: DataFrame) -> DataFrame:
-    """The same rows under all of a line but one piece."""
-    t, n = F.col("text"), F.length("text")
-
-    def keys(n: Column, shift: int, indexed: bool):
-        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), lambda i: F.struct(F.xxhash64(
-            i, n, _part(t, F.lit(0), i * PIECE), _part(t, F.least((i + 1) * PIECE, n) + shift, n + shift)).alias("key"),
-            F.lit(indexed).alias("indexed")))
-
-    rows = lines.select("d", "line", F.explode(F.concat(keys(n, 0, True), keys(n - 1, 1, False))).alias("k"))
-    return rows.select("k.key", "k.indexed", "d", "line")
-
-
 def _pairs(rows: DataFrame) -> DataFrame:
     """Places a, b of lines that share a key: one indexed, the other either
     indexed too (same length; each pair once) or looked up."""
@@ -178,14 +165,34 @@ def word_keys(lines: DataFrame) -> DataFrame:
     return rows.select("d", "line", F.explode(F.concat(without, gaps)).alias("k")).select("k.before", "k.after", "d", "line")
 
 
+def char_keys(lines: DataFrame) -> DataFrame:
+    """before, after (hashes), d, line: the line without each character, and
+    with a gap at each place."""
+    c = F.filter(F.split("text", ""), lambda x: x != "")
+    rows = lines.select("d", "line", _running(c).alias("up"), _running(F.reverse(c)).alias("down"))
+    n = F.size("up") - 1
+    key = lambda i, after: F.struct(F.get("up", i).alias("before"), F.get("down", after).alias("after"))
+    without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: key(i, n - 1 - i))
+    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: key(i, n - i))
+    return rows.select("d", "line", F.explode(F.concat(without, gaps)).alias("k")).select("k.before", "k.after", "d", "line")
+
+
+def _after_first(keyed: DataFrame) -> DataFrame:
+    """d, line of the rows that share a key with an earlier place."""
+    first = keyed.groupBy("before", "after").agg(F.min(F.struct("d", "line")).alias("at"), F.count(F.lit(1)).alias("n"))
+    return keyed.join(first.where("n > 1"), ["before", "after"]).where(F.struct("d", "line") > F.col("at")).select("d", "line").distinct()
+
+
 def near_by_word(one: DataFrame, scratch: Scratch) -> DataFrame:
     """d, line of the distinct lines that are one word away from an earlier one."""
     halves = word_halves(one)
     sizes = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     some = scratch.keep(halves.join(sizes, "key").select("d", "line").distinct())
     keyed = scratch.keep(word_keys(one.join(some, ["d", "line"])))
-    first = keyed.groupBy("before", "after").agg(F.min(F.struct("d", "line")).alias("at"), F.count(F.lit(1)).alias("n"))
-    return keyed.join(first.where("n > 1"), ["before", "after"]).where(F.struct("d", "line") > F.col("at")).select("d", "line").distinct()
+    near = scratch.keep(_after_first(keyed))
+    scratch.drop(some)
+    scratch.drop(keyed)
+    return near
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
@@ -203,20 +210,23 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, words: bool = Fal
     rows = keyed.join(sizes, "key")
     rows = scratch.keep(rows)
     crowded = rows.where(F.col("n") > BUCKET).select("d", "line").distinct()
-    pairs = _pairs(rows.where(F.col("n") <= BUCKET)).unionByName(
-        _pairs(piece_keys(one.join(crowded, ["d", "line"])))).distinct()
+    pairs = _pairs(rows.where(F.col("n") <= BUCKET)).distinct()
     a = one.select(F.col("d").alias("ad"), F.col("line").alias("al"), F.col("text").alias("a_text"))
     b = one.select(F.col("d").alias("bd"), F.col("line").alias("bl"), F.col("text").alias("b_text"))
     near = pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"]).where(within_edits(F.col("a_text"), F.col("b_text")))
     a_later = (F.col("ad") > F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("al") > F.col("bl")))
     near = near.select(F.when(a_later, F.col("ad")).otherwise(F.col("bd")).alias("d"),
-                       F.when(a_later, F.col("al")).otherwise(F.col("bl")).alias("line")).distinct()
+                       F.when(a_later, F.col("al")).otherwise(F.col("bl")).alias("line"))
+    near = scratch.keep(near.unionByName(_after_first(char_keys(one.join(crowded, ["d", "line"])))).distinct())
+    scratch.drop(rows)
     if words:
         near = near.unionByName(near_by_word(one, scratch)).distinct()
     near = scratch.keep(near.withColumn("near", F.lit(True)))
 
     state = scratch.keep(first.join(near, ["d", "line"], "left").select(
         "h1", "h2", F.col("d").alias("fd"), F.col("line").alias("fl"), F.coalesce("near", F.lit(False)).alias("near")))
+    scratch.drop(first)
+    scratch.drop(near)
     gone = places.join(state, ["h1", "h2"]).where(
         F.col("near") | (F.col("d") != F.col("fd")) | (F.col("line") != F.col("fl")))
     return gone.select("d", "line").distinct()
