@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -195,13 +197,16 @@ class Memo(dict):
 
 
 def _shared(df: DataFrame, ranks: dict[bytes, int], pattern: str):
-    sent = df.sparkSession.sparkContext.broadcast((ranks, last_merges(ranks)))
-    here = []
+    """One encoder a worker process, with the pieces that it knows: this
+    function's globals are sent anew with each task, ``sys`` stays."""
+    sent, key = df.sparkSession.sparkContext.broadcast((ranks, last_merges(ranks))), uuid.uuid4().hex
 
     def encoder() -> Encoder:
-        if not here:
-            here.append(Encoder(sent.value[0], pattern, sent.value[1]))
-        return here[0]
+        held = vars(sys).setdefault("_strata_encoder", {})
+        if key not in held:
+            held.clear()  # of an earlier query
+            held[key] = Encoder(sent.value[0], pattern, sent.value[1])
+        return held[key]
 
     return encoder
 
