@@ -109,9 +109,10 @@ def navigate(fact: DataFrame, dim: DataFrame, fk: str, pk: str, cols: Sequence[s
 
 
 def auto_measures(df: DataFrame, n_numeric: int = 3) -> DataFrame:
-    """Row count + sum of the first ``n_numeric`` numeric columns."""
-    from pyspark.sql.types import NumericType
+    """Row count + sum of the first ``n_numeric`` numeric columns; whole
+    numbers as decimal(38,0), since sums of keys pass a long."""
+    from pyspark.sql.types import IntegralType, NumericType
 
-    nums = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)][:n_numeric]
-    return df.agg(F.count(F.lit(1)).alias("row_count"),
-                  *[F.sum(c).alias(f"total_{c}") for c in nums])
+    nums = [f for f in df.schema.fields if isinstance(f.dataType, NumericType)][:n_numeric]
+    total = lambda f: F.sum(F.col(f.name).cast("decimal(38,0)") if isinstance(f.dataType, IntegralType) else f.name)
+    return df.agg(F.count(F.lit(1)).alias("row_count"), *[total(f).alias(f"total_{f.name}") for f in nums])

@@ -52,11 +52,14 @@ def top_share(df: DataFrame, key: str, c: str, n: int, digits: int = 2) -> DataF
     """Share of the total held by the top-n keys by ``c`` (dense rank ≤ n).
 
     Ranks are computed with the distributed ``ranked`` (no single-task window).
+    Whole numbers are summed as decimals, exact beyond 2^53, and turned into
+    doubles at the end; other columns are summed as doubles.
     """
-    per = df.groupBy(key).agg(F.sum(F.col(c).cast("double")).alias("__v"))
+    whole = dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint")
+    per = df.groupBy(key).agg(F.sum(F.col(c).cast("decimal(38,0)" if whole else "double")).alias("__v"))
     r = ranked(per, ["__v"], (), True, "dense_rank", "__rk")
     return r.agg(
-        F.sum(F.when(F.col("__rk") <= n, F.col("__v")).otherwise(F.lit(0.0))).alias("top_value"),
-        F.sum("__v").alias("total_value"),
+        F.sum(F.when(F.col("__rk") <= n, F.col("__v")).otherwise(F.lit(0))).cast("double").alias("top_value"),
+        F.sum("__v").cast("double").alias("total_value"),
     ).withColumn("top_share_pct", F.round(F.try_divide(F.col("top_value"), F.col("total_value"))
                                           * F.lit(100.0), digits))

@@ -115,7 +115,7 @@ def ranked(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = ()
         r = F.col("__off_d") + F.col("__idx")
     else:
         raise ValueError(method)
-    ranks = ranks.select(*part, *vals, r.cast("int").alias(name))
+    ranks = ranks.select(*part, *vals, r.cast("long").alias(name))
     return _null_safe_join(df, ranks, part + vals)
 
 
@@ -199,3 +199,35 @@ def repeat_flag(df: DataFrame, key: str, name: str = "is_repeat", as_int: bool =
     f = F.col("__cnt") > 1
     return (df.join(cnt, key, "left")
             .withColumn(name, f.cast("int") if as_int else f).drop("__cnt"))
+
+
+def lag_ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: dict[str, tuple[str, int]],
+               num_partitions: int | None = None) -> DataFrame:
+    """``lag(c, n) over (partition by keys order by order)`` for lags
+    {name: (c, n)}, where one key may hold any share of the rows.
+
+    Rows are dealt by range of (keys, order), so a hot key spans many tasks; a
+    range also gets, for each of its keys, the last rows that earlier ranges
+    hold of it (at most the greatest n).  ``order`` makes rows of a key
+    distinct.  The dealt rows are written once, since range bounds are sampled."""
+    from strata.session import materialize
+
+    keys, order = list(keys), list(order)
+    most = max(n for _, n in lags.values())
+    cols = list(dict.fromkeys([*keys, *order, *[c for c, _ in lags.values()]]))
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(parts, *keys, *order).withColumn("__pid", F.spark_partition_id()), "lag-ranges")
+    # last rows of each key in each range; few keys lie in more than one
+    back = Window.partitionBy("__pid", *keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    tails = (dealt.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= most)
+             .groupBy("__pid", *keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("at"), F.struct(*cols).alias("row"))))
+                                          .alias("__tail")))
+    # every range before holds a row at least, so as many ranges as rows are enough
+    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(-most, -1)
+    halo = (tails.withColumn("__rows", F.flatten(F.collect_list("__tail").over(before))).where(F.size("__rows") > 0)
+            .select("__pid", F.explode(F.slice("__rows", F.greatest(F.size("__rows") - most + 1, F.lit(1)), most)).alias("x"))
+            .select("__pid", "x.row.*").withColumn("__halo", F.lit(True)))
+    both = dealt.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    w = Window.partitionBy("__pid", *keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    out = both.select("*", *[F.lag(c, n).over(w).alias(name) for name, (c, n) in lags.items()])
+    return out.where(~F.col("__halo")).select(*df.columns, *lags)

@@ -265,3 +265,19 @@ FROM events GROUP BY event_type
 """)
 def event_spread_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "events"), ["event_type"], ["value"])
+
+
+@query("customers_daily_and_weekly", "A3 D2 A11", """
+SELECT 'day' AS grain, CAST(o_orderdate AS DATE) AS start, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 2
+UNION ALL SELECT 'week', CAST(date_trunc('week', o_orderdate) AS DATE), count(DISTINCT o_custkey) FROM orders GROUP BY 2
+""")
+def customers_daily_and_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct customers a day and a week from one scan: the days' bitmaps are written and merged."""
+    from strata.operators.aggregates import count_bitmaps, distinct_bitmaps, merge_bitmaps
+    from strata.session import materialize
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("start"), "o_custkey")
+    days = materialize(distinct_bitmaps(o, ["start"], "o_custkey"), "day-bitmaps")
+    weeks = merge_bitmaps(days.withColumn("start", F.trunc("start", "week")), ["start"])
+    grains = [count_bitmaps(b, ["start"], "customers").withColumn("grain", F.lit(g)) for g, b in (("day", days), ("week", weeks))]
+    return grains[0].unionByName(grains[1]).select("grain", "start", "customers")

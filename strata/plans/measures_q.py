@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions import units
 from strata.operators.contracts import (ColumnRule, Contract, check_key, duplicate_keys, entities,
                                         entity_events, guard_label, violations)
 from strata.operators.measures import (auto_measures, average_of_sums, m_avg, m_count, m_count_where,
@@ -73,8 +74,8 @@ def segment_avg_customer_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lineitem_auto_measures", "D11 A24", """
-SELECT count(*) AS row_count, CAST(sum(l_orderkey) AS BIGINT) AS total_l_orderkey,
-       CAST(sum(l_partkey) AS BIGINT) AS total_l_partkey, CAST(sum(l_suppkey) AS BIGINT) AS total_l_suppkey
+SELECT count(*) AS row_count, CAST(sum(l_orderkey) AS DECIMAL(38,0)) AS total_l_orderkey,
+       CAST(sum(l_partkey) AS DECIMAL(38,0)) AS total_l_partkey, CAST(sum(l_suppkey) AS DECIMAL(38,0)) AS total_l_suppkey
 FROM lineitem
 """)
 def lineitem_auto_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,3 +160,60 @@ def return_label_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
     return guard_label(li, "y").withColumn("label_stddev", F.round("label_stddev", 6))
+
+
+# ------------------------------------------------------------------ relationship model
+def sales_model(spark: SparkSession, sf_dir: str):
+    from strata.operators.model import Model, Relation
+
+    names = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")
+    return Model({n: table(spark, sf_dir, n) for n in names}, [
+        Relation("lineitem", "l_orderkey", "orders", "o_orderkey"), Relation("orders", "o_custkey", "customer", "c_custkey"),
+        Relation("customer", "c_nationkey", "nation", "n_nationkey"), Relation("nation", "n_regionkey", "region", "r_regionkey"),
+        Relation("lineitem", "l_partkey", "part", "p_partkey"), Relation("lineitem", "l_suppkey", "supplier", "s_suppkey", both=True)])
+
+
+@query("model_suppliers_of_region", "D10 D1 D2", """
+WITH c AS (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'),
+l AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+      AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25))
+SELECT s_nationkey, count(*) AS suppliers, CAST(sum(CAST(round(s_acctbal * 100.0) AS BIGINT)) AS BIGINT) AS balance_units
+FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM l) GROUP BY s_nationkey
+""")
+def model_suppliers_of_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters on region and part reach the suppliers through the lines, the last step against its relation's direction."""
+    from strata.operators.model import Model
+
+    m = sales_model(spark, sf_dir)
+    lines = m.filtered("lineitem", {"region": F.col("r_name") == "ASIA", "part": F.col("p_size") > 25})
+    near = Model(m.tables | {"lineitem": lines}, m.relations).filtered("supplier", {"lineitem": F.lit(True)})
+    return near.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"), F.sum(units("s_acctbal", 2)).alias("balance_units"))
+
+
+@query("model_lines_by_region", "D10 J4", """
+SELECT r_name AS region, n_name AS nation, count(*) AS lines, count(DISTINCT l_suppkey) AS suppliers
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2
+""")
+def model_lines_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sales_model(spark, sf_dir)
+    rows = m.related("lineitem", {"region": "region.r_name", "nation": "nation.n_name"})
+    return rows.groupBy("region", "nation").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query("model_relation_check", "D10 C4", """
+WITH r AS (
+  SELECT 'lineitem.l_orderkey -> orders.o_orderkey' AS relation, (SELECT list(o_orderkey) FROM orders) AS k, (SELECT list(DISTINCT l_orderkey) FROM lineitem) AS u
+  UNION ALL SELECT 'orders.o_custkey -> customer.c_custkey', (SELECT list(c_custkey) FROM customer), (SELECT list(DISTINCT o_custkey) FROM orders)
+  UNION ALL SELECT 'customer.c_nationkey -> nation.n_nationkey', (SELECT list(n_nationkey) FROM nation), (SELECT list(DISTINCT c_nationkey) FROM customer)
+  UNION ALL SELECT 'nation.n_regionkey -> region.r_regionkey', (SELECT list(r_regionkey) FROM region), (SELECT list(DISTINCT n_regionkey) FROM nation)
+  UNION ALL SELECT 'lineitem.l_partkey -> part.p_partkey', (SELECT list(p_partkey) FROM part), (SELECT list(DISTINCT l_partkey) FROM lineitem)
+  UNION ALL SELECT 'lineitem.l_suppkey -> supplier.s_suppkey', (SELECT list(s_suppkey) FROM supplier), (SELECT list(DISTINCT l_suppkey) FROM lineitem)),
+k AS (SELECT relation, x, count(*) AS n FROM (SELECT relation, unnest(k) AS x FROM r) GROUP BY 1, 2),
+o AS (SELECT relation, count(*) AS orphans FROM (SELECT relation, unnest(u) AS x FROM r) ux ANTI JOIN k USING (relation, x) WHERE x IS NOT NULL GROUP BY 1)
+SELECT relation, count_if(x IS NOT NULL AND n > 1)::BIGINT AS repeated_keys, coalesce(sum(n) FILTER (x IS NULL), 0)::BIGINT AS null_keys,
+       coalesce(any_value(orphans), 0)::BIGINT AS orphans
+FROM k LEFT JOIN o USING (relation) GROUP BY relation
+""")
+def model_relation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_model(spark, sf_dir).check()

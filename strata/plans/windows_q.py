@@ -46,7 +46,7 @@ def part_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("part_revenue_dense_rank", "W3", SQL_PART_REVENUE + """
-SELECT *, CAST(dense_rank() OVER (ORDER BY units DESC) AS INTEGER) AS units_rank FROM p
+SELECT *, CAST(dense_rank() OVER (ORDER BY units DESC) AS BIGINT) AS units_rank FROM p
 """)
 def part_revenue_dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_rank_by(part_revenue(spark, sf_dir), "units", name="units_rank")
@@ -55,7 +55,7 @@ def part_revenue_dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("customer_value_rank", "W4 J1", """
 WITH o AS (SELECT o_custkey, max(o_totalprice) AS best_order FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
 SELECT c_custkey, best_order,
-       CAST(rank() OVER (ORDER BY best_order DESC NULLS LAST) AS INTEGER) AS value_rank
+       CAST(rank() OVER (ORDER BY best_order DESC NULLS LAST) AS BIGINT) AS value_rank
 FROM customer LEFT JOIN o ON c_custkey = o_custkey
 """)
 def customer_value_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,8 @@ def customer_value_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("customer_rank_in_nation", "W5", """
 SELECT c_custkey, c_nationkey, c_acctbal,
-       CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST) AS INTEGER) AS nation_rank,
-       CAST(dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey DESC NULLS LAST) AS INTEGER)
+       CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST) AS BIGINT) AS nation_rank,
+       CAST(dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey DESC NULLS LAST) AS BIGINT)
          AS nation_in_segment
 FROM customer
 """)
@@ -156,3 +156,16 @@ def top10_part_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = top_share(li, "l_partkey", "net", 10)
     return out.select((F.col("top_value") / F.lit(10000.0)).alias("top_value"),
                       (F.col("total_value") / F.lit(10000.0)).alias("total_value"), "top_share_pct")
+
+
+@query("event_value_lags", "W6 W7", """
+SELECT event_id, user_id, lag(value, 1) OVER w AS prev_value, lag(value, 7) OVER w AS value_7_back, lag(ts, 1) OVER w AS prev_ts
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def event_value_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags by ranges with a halo: a user may hold any share of the events."""
+    from strata.operators.windows import lag_ranged
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return lag_ranged(e, ["user_id"], ["ts", "event_id"], {"prev_value": ("value", 1), "value_7_back": ("value", 7), "prev_ts": ("ts", 1)}).select(
+        "event_id", "user_id", "prev_value", "value_7_back", "prev_ts")
