@@ -56,20 +56,26 @@ def dedupe_latest(bronze: Tables, keys: Mapping[str, list[str]]) -> Tables:
 
 def run_package(spark: SparkSession, pkg: Package, landing: str, batch_id: str = "batch-1",
                 write_to: str | None = None) -> dict[str, Tables]:
+    p = f"{pkg.name}__"
+
+    def written(layer: str, tables: Tables) -> Tables:
+        """The layer as the next one reads it: its written copies, if it is written."""
+        if not write_to:
+            return tables
+        out = {}
+        for t, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{write_to}/{p}{layer}_{t}")
+            out[t] = spark.read.parquet(f"{write_to}/{p}{layer}_{t}")
+        return out
+
     bronze = {}
     for t, schema in pkg.sources.items():
         df = read_csv(spark, f"{landing}/{t}.csv", schema, date_cols=pkg.date_cols.get(t))
         bronze[t] = bronze_stamp(df, batch_id, batch_col="ingestion_batch_id")
-    silver = pkg.silver(dedupe_latest(bronze, pkg.keys))
-    gold = pkg.gold(silver)
-    p = f"{pkg.name}__"
+    bronze = written("bronze", bronze)
+    silver = written("silver", pkg.silver(dedupe_latest(bronze, pkg.keys)))
+    gold = written("gold", pkg.gold(silver))
     layers = {"bronze": bronze, "silver": silver, "gold": gold}
-    if write_to:
-        for layer, tables in layers.items():
-            for t, df in tables.items():
-                path = f"{write_to}/{p}{layer}_{t}"
-                df.write.mode("overwrite").parquet(path)
-                tables[t] = spark.read.parquet(path)
     for t, df in gold.items():
         df.createOrReplaceTempView(f"{p}{t}")
     for t, df in silver.items():

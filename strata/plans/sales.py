@@ -30,9 +30,12 @@ def silver_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest row per (order, line) by ship date, then positive quantity —
     dedupe first, then validate (the reference's order).
 
-    Lines move once, by order: that deals them out for the dedupe as well as
-    for a join with orders."""
-    li = latest_by(table(spark, sf_dir, "lineitem").repartition("l_orderkey"), LINE_KEY, ["l_shipdate"])
+    Lines are dealt by order and line, so a hot order spans many tasks (only
+    the repeats of one line meet in one), and are deduped where they land; a
+    join with orders shuffles what is left, where AQE can split a hot order.
+    Combining repeats before the shuffle instead sorts every scan task's rows
+    by key: measured at sf0.1, daily_sales_summary took 4.9 s that way against 3.5."""
+    li = latest_by(table(spark, sf_dir, "lineitem").repartition(*LINE_KEY), LINE_KEY, ["l_shipdate"])
     return positive(li, ["l_quantity"])
 
 

@@ -747,3 +747,17 @@ def test_package_prediction_summaries(spark):
                               "category string, region string, predicted double, daily_quantity double, demand_signal string, daily_revenue double")
     r = SPECS["retail"].summary(d).first()
     assert (r.avg_demand_gap, r.demand_trend, r.high_demand_days, r.total_revenue) == (3.5, "growing", 1, 30.0)
+
+
+def test_written_layers_are_read_by_the_next_one(spark):
+    to = tempfile.mkdtemp(prefix="strata-layers-")
+    landing = _land(MANUFACTURING)
+    plain = run_package(spark, get("manufacturing"), landing)
+    out = run_package(spark, get("manufacturing"), landing, write_to=to)
+    for layer in ("silver", "gold"):
+        for t, df in out[layer].items():
+            assert all(f"{to}/manufacturing__{layer}_{t}" in f for f in df.inputFiles()), t
+            assert df.count() == plain[layer][t].count(), (layer, t)
+    # what builds gold scans written silver alone
+    gold = get("manufacturing").gold(out["silver"])
+    assert all("__silver_" in f for df in gold.values() for f in df.inputFiles())
