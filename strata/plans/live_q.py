@@ -136,7 +136,7 @@ def stream_three_sigma_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = _events_in_files(spark, sf_dir)
     parts, sink = _scratch(spark, "moments"), _scratch(spark, "sink-sigma")
-    run_to_completion(moments_stream(events, "user_id", "value", parts, _scratch(spark, "ckpt-moments")))
+    run_to_completion(moments_stream(events, "user_id", "value", parts, _scratch(spark, "ckpt-moments"), scale=2))
     run_to_completion(sigma_stream(events, parts, "user_id", "value", sink, _scratch(spark, "ckpt-sigma")))
     out = read_alerts(spark, sink)
     return out.withColumns({"avg_val": F.round("avg_val", 6), "stdev_val": F.round("stdev_val", 6)})

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions import units
 from strata.streaming import BATCH, group_signal, sigma_outliers
 
 
@@ -43,10 +44,12 @@ def read_newest(spark: SparkSession, sink: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T6
-def moments(df: DataFrame, key: str, c: str) -> DataFrame:
-    """key, n, mean, m2 (sum of squared deviations) of the non-null values."""
-    return df.groupBy(key).agg(F.count(c).alias("n"), F.avg(c).alias("mean"),
-                               (F.var_pop(c) * F.count(c)).alias("m2")).where("n > 0")
+def moments(df: DataFrame, key: str, c: str, scale: int | None = None) -> DataFrame:
+    """key, n, mean, m2 (sum of squared deviations), total of the non-null
+    values; with ``scale`` the total is in exact units of so many decimals."""
+    total, unit = (F.sum(c), 1.0) if scale is None else (F.sum(units(c, scale)), float(10 ** scale))
+    return df.groupBy(key).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("m2"),
+                               total.alias("total"), F.lit(unit).alias("unit")).where("n > 0")
 
 
 def merge_moments(parts: DataFrame, key: str) -> DataFrame:
@@ -56,17 +59,19 @@ def merge_moments(parts: DataFrame, key: str) -> DataFrame:
     first = F.min_by("mean", BATCH).alias("at")
     near = parts.groupBy(key).agg(first)
     x = parts.join(near, key).withColumn("d", F.col("mean") - F.col("at"))
-    x = x.groupBy(key).agg(F.sum("n").alias("n"), F.first("at").alias("at"), F.sum(F.col("n") * F.col("d")).alias("nd"),
+    x = x.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("nd"),
+                           F.sum("total").alias("total"), F.first("unit").alias("unit"),
                            F.sum(F.col("m2") + F.col("n") * F.col("d") * F.col("d")).alias("q"))
-    return x.select(key, "n", (F.col("at") + F.col("nd") / F.col("n")).alias("mean"),
-                    F.greatest(F.col("q") - F.col("nd") * F.col("nd") / F.col("n"), F.lit(0.0)).alias("m2"))
+    return x.select(key, "n", (F.col("total") / F.col("unit") / F.col("n")).alias("mean"),
+                    F.greatest(F.col("q") - F.col("nd") * F.col("nd") / F.col("n"), F.lit(0.0)).alias("m2"), "total", "unit")
 
 
-def moments_stream(stream: DataFrame, key: str, c: str, sink: str, checkpoint: str, available_now: bool = True):
+def moments_stream(stream: DataFrame, key: str, c: str, sink: str, checkpoint: str, scale: int | None = None,
+                   available_now: bool = True):
     """Fold each micro-batch into the parts under ``sink``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        moments(batch, key, c).write.mode("overwrite").parquet(f"{sink}/{BATCH}={batch_id}")
+        moments(batch, key, c, scale).write.mode("overwrite").parquet(f"{sink}/{BATCH}={batch_id}")
 
     return _start(stream.select(key, c).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
 
