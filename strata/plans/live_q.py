@@ -126,7 +126,8 @@ def stream_signal_by_user_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stream_three_sigma_outliers", "T6 T9", """
-WITH st AS (SELECT user_id, avg(value) AS avg_val, stddev_samp(value) AS stdev_val FROM events GROUP BY user_id)
+WITH st AS (SELECT user_id, CAST(sum(CAST(round(value * 100.0) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE) / count(value) AS avg_val,
+                   stddev_samp(value) AS stdev_val FROM events GROUP BY user_id)
 SELECT e.user_id, e.value, round(st.avg_val, 6) AS avg_val, round(st.stdev_val, 6) AS stdev_val
 FROM events e JOIN st USING (user_id) WHERE e.value > st.avg_val + 3 * st.stdev_val
 """)
