@@ -4,8 +4,8 @@ Importing this package imports every plan module, filling ``REGISTRY``.
 """
 
 from strata.plans.catalog import REGISTRY, Entry, query, table  # noqa: F401
-from strata.plans import (aggs_q, columns, joins_q, live_q, measures_q, ml_q, sales, scored_q, stream_q,  # noqa: F401  (register queries)
-                          windows_q)
+from strata.plans import (aggs_q, columns, joins_q, live_q, measures_q, ml_q, sales, scored_q, stored_q,  # noqa: F401  (register queries)
+                          stream_q, windows_q)
 
 
 def queries():

@@ -12,6 +12,7 @@ segment summary (M20) — all Spark ML / DataFrame work.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from strata.operators import ml
 from strata.operators.aggregates import kpi
 from strata.operators.contracts import guard_label
 from strata.operators.joins import enrich, label_from_events, scorecard, star
+from strata.operators.saved import fit_or_load, load_models
 from strata.operators.windows import lag_features
 
 
@@ -292,7 +294,33 @@ def feature_table(spec: MLSpec, silver: dict) -> DataFrame:
     return f.na.fill(0, list(spec.numeric)).na.fill("unknown", list(spec.categorical))
 
 
-def run_ml(spark, spec: MLSpec, silver: dict, gbt_iter: int = 100, gbt_depth: int = 6) -> dict[str, DataFrame]:
+def score_stored(spark, spec: MLSpec, silver: dict, name: str, version: str, base: str | None = None) -> DataFrame:
+    """M18 alone: predictions by the stored champion of ``name`` at ``version``; nothing is trained."""
+    return _predictions(spec, load_models(spark, name, version, base).model(), feature_table(spec, silver))[0]
+
+
+def _predictions(spec: MLSpec, model, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table of predictions, and all columns for the summary."""
+    if spec.regression:
+        p = model.transform(f).withColumns({
+            "predicted": F.round("prediction", 1),
+            "demand_signal": ml.demand_signal("prediction", spec.label)})
+        carried = [c for c in f.columns if c not in (spec.key, spec.label, "is_train", *spec.numeric)]
+        return p.select(spec.key, spec.label, *carried, "predicted", "demand_signal"), p
+    scored = ml.score(model, f, label_name="predicted", prob_name="probability_positive")
+    if spec.bands:
+        scored = scored.withColumn("risk_level", band("probability_positive", spec.bands, "low"))
+    return scored.select(spec.key, *spec.segment, spec.label, "predicted", "probability_positive", "risk_level"), scored
+
+
+def run_ml(spark, spec: MLSpec, silver: dict, gbt_iter: int = 100, gbt_depth: int = 6, name: str = "package",
+           version: str | None = None, base: str | None = None) -> dict[str, DataFrame]:
+    """Train, evaluate and score; jobs run while this builds its tables.
+
+    The fitted pipelines are stored as ``name`` at ``version`` (a new one if
+    not given) and read from there: a version that is stored is not trained
+    again, and ``score_stored`` uses it from any session."""
+    version = version or uuid.uuid4().hex
     f = feature_table(spec, silver)
     guard = guard_label(f, spec.label, min_rows=spec.min_rows, regression=spec.regression)
     found = guard.first()
@@ -301,38 +329,25 @@ def run_ml(spark, spec: MLSpec, silver: dict, gbt_iter: int = 100, gbt_depth: in
     f = ml.split_flag(f, spec.key)
     train, test = f.filter("is_train"), f.filter("NOT is_train")
     trees, depth = spec.rf
-    models = {
-        "random_forest": ml.train_rf(train, spec.label, spec.numeric, spec.categorical, trees=trees, max_depth=depth,
-                                     regression=spec.regression),
-        "gbt": ml.train_gbt(train, spec.label, spec.numeric, spec.categorical, max_iter=gbt_iter,
-                            max_depth=gbt_depth, regression=spec.regression),
+    fits = {
+        "random_forest": lambda: ml.train_rf(train, spec.label, spec.numeric, spec.categorical, trees=trees, max_depth=depth,
+                                             regression=spec.regression),
+        "gbt": lambda: ml.train_gbt(train, spec.label, spec.numeric, spec.categorical, max_iter=gbt_iter,
+                                    max_depth=gbt_depth, regression=spec.regression),
     }
     evaluate = ml.evaluate_regression if spec.regression else ml.evaluate_binary
-    metrics = None
-    for n, m in models.items():
-        e = evaluate(m.transform(test), spec.label, model_name=n)
-        metrics = e if metrics is None else metrics.unionByName(e)
-    champ = ml.pick_champion(metrics, "rmse" if spec.regression else "auc", higher_is_better=not spec.regression)
-    best = champ.select("model").first()["model"]
-    model = models[best]
+    saved = fit_or_load(spark, name, version, fits, lambda m, n: evaluate(m.transform(test), spec.label, model_name=n),
+                        "rmse" if spec.regression else "auc", not spec.regression, base)
+    metrics, model = saved.metrics(), saved.model()
     out = {"gold_ml_features": f, "gold_ml_label_guard": guard, "gold_ml_model_metrics": metrics,
            "gold_ml_feature_importance": ml.importance(spark, model, [*spec.numeric, *spec.categorical])}
+    out["gold_ml_predictions"], p = _predictions(spec, model, f)
     if spec.regression:
-        p = model.transform(f).withColumns({
-            "predicted": F.round("prediction", 1),
-            "demand_signal": ml.demand_signal("prediction", spec.label)})
-        carried = [c for c in f.columns if c not in (spec.key, spec.label, "is_train", *spec.numeric)]
-        out["gold_ml_predictions"] = p.select(spec.key, spec.label, *carried, "predicted", "demand_signal")
         if spec.summary:
             out["gold_ml_summary"] = spec.summary(p)
         out["gold_ml_residuals"] = ml.residuals(p, spec.label)
     else:
-        scored = ml.score(model, f, label_name="predicted", prob_name="probability_positive")
-        if spec.bands:
-            scored = scored.withColumn("risk_level", band("probability_positive", spec.bands, "low"))
-        out["gold_ml_predictions"] = scored.select(spec.key, *spec.segment, spec.label, "predicted",
-                                                   "probability_positive", "risk_level")
-        out["gold_ml_summary"] = spec.summary(scored) if spec.summary else ml.risk_summary(
-            scored, list(spec.segment), "probability_positive", "predicted", spec.label)
+        out["gold_ml_summary"] = spec.summary(p) if spec.summary else ml.risk_summary(
+            p, list(spec.segment), "probability_positive", "predicted", spec.label)
         out["gold_ml_confusion"] = ml.class_report(model.transform(test), spec.label)
     return out

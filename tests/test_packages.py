@@ -555,16 +555,18 @@ def _financial_many(n=400):
 
 
 def test_package_model_lifecycle(spark):
-    from strata.plans.packages.modeling import SPECS, run_ml
+    from strata.plans.packages.modeling import SPECS, run_ml, score_stored
 
     out = run_package(spark, get("financial"), _land(_financial_many()))
-    res = run_ml(spark, SPECS["financial"], out["silver"])
+    res = run_ml(spark, SPECS["financial"], out["silver"], name="fraud", version="lifecycle")
     guard = res["gold_ml_label_guard"].collect()[0]
     assert guard.rows == 400 and guard.passed is True
     mets = {r.model: r for r in res["gold_ml_model_metrics"].collect()}
     assert set(mets) == {"random_forest", "gbt"} and all(0.5 <= m.auc <= 1.0 for m in mets.values())
     preds = res["gold_ml_predictions"]
     assert preds.count() == 400
+    again = score_stored(spark, SPECS["financial"], out["silver"], "fraud", "lifecycle")
+    assert sorted(map(str, again.collect())) == sorted(map(str, preds.collect()))
     assert {r.risk_level for r in preds.select("risk_level").distinct().collect()} <= {"critical", "high", "medium", "low"}
     summ = res["gold_ml_summary"].collect()
     assert sum(r.total for r in summ) == 400
