@@ -26,8 +26,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from strata.llm.common import Scratch, map_rows, only
 from strata.llm.components import components
@@ -54,8 +55,10 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
     return map_rows(only(docs, "doc_id", "text"), lambda b: {
-        "doc_id": b["doc_id"], "fp": [fingerprint(t, words) for t in b["text"]]}, "doc_id long, fp long")
+        "doc_id": b["doc_id"], "fp": [fingerprint(t, words) for t in b["text"]]}, f"doc_id {kind}, fp long")
 
 
 def signed(x: int) -> int:
@@ -137,12 +140,15 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFr
 
 
 def one_of_each(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The ``keep`` columns of the document that names its component; one row
-    of those that repeat a doc_id.  Rows without a doc_id cannot be named in a
-    group and stay."""
-    named = docs.where("doc_id IS NOT NULL")
-    first = simhash_groups(named, words, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    rows = named.select(*keep).join(first, "doc_id")
-    same = Window.partitionBy("doc_id").orderBy(*[c for c in keep if c != "doc_id"])
-    rows = rows.withColumn("__nr", F.row_number().over(same)).where("__nr = 1").select(*keep)
-    return rows.unionByName(docs.where("doc_id IS NULL").select(*keep))
+    """The ``keep`` columns of the least row of each component.
+
+    A row is known by its doc_id (rows without one come last) and its text's
+    hash, so texts that share a doc_id or have none are documents of their
+    own; rows that repeat both are one, the least by its other columns."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+                   F.xxhash64("text").alias("t"), F.xxhash64("text", F.lit(1)).alias("u"))
+    rows = docs.select(row.alias("__row"), F.struct(*keep).alias("__kept"))
+    least = rows.groupBy("__row").agg(F.min("__kept").alias("__kept"))
+    groups = simhash_groups(docs.select(row.alias("doc_id"), "text"), words, max_bits)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    return least.join(first, "__row", "left_semi").select("__kept.*")
