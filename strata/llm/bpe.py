@@ -62,8 +62,8 @@ class Vocabulary:
         self.made_of = last_merges(ranks) if made_of is None else made_of
         self.longest, self.beyond = max(map(len, ranks)), max(ranks.values()) + 1
         self.pairs: dict[tuple[int, int], bool] = {}
-        #: each beginning of a token, with the token's id if it is one, else -1
-        self.heads = {t[:i]: -1 for t in ranks for i in range(1, len(t))} | ranks
+        #: each end of a token, with the token's id if it is one, else -1
+        self.tails = {t[i:]: -1 for t in ranks for i in range(1, len(t))} | ranks
 
     def valid(self, a: int, b: int) -> bool:
         """Whether token b after token a (-1: after nothing) stays as it is."""
@@ -98,47 +98,45 @@ class Vocabulary:
 class Prefixes:
     """The last token of each prefix of a growing, editable byte string."""
 
-    def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, b"", []
+    def __init__(self, vocabulary: Vocabulary, data: bytes = b"", last: list[int] | None = None):
+        """``last``: the entries of the shortest prefixes, where they are known."""
+        self.v, self.data, self.last = vocabulary, b"", [] if last is None else last
         self.append(data)
 
-    def _from(self, starts, done: int) -> None:
-        """Enter the tokens that begin at the starts and end behind done."""
-        data, last, known, pairs, valid = self.data, self.last, self.v.heads, self.v.pairs, self.v.valid
-        ends = len(data) + 1
-        for start in starts:
-            before = last[start - 1] if start else -1
-            for end in range(start + 1, ends):
+    def _enter(self, upto: int) -> None:
+        """Enter the last tokens of the prefixes from the first one without, up to that long."""
+        data, last, known, pairs, valid = self.data, self.last, self.v.tails, self.v.pairs, self.v.valid
+        for end in range(len(last) + 1, upto + 1):
+            for start in range(end - 1, -1, -1):
                 t = known.get(data[start:end])
                 if t is None:
-                    break
-                if t >= 0 and end > done and last[end - 1] < 0:
+                    raise ValueError(f"no token ends at byte {end}")
+                if t >= 0:
+                    before = last[start - 1] if start else -1
                     ok = pairs.get((before, t))
                     if valid(before, t) if ok is None else ok:
-                        last[end - 1] = t
+                        last.append(t)
+                        break
 
     def append(self, more: bytes) -> None:
-        done = len(self.data)
         self.data += more
-        self.last += [-1] * len(more)
-        self._from(range(max(0, done - self.v.longest + 1), len(self.data)), done)
+        self._enter(len(self.data))
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace bytes start to stop; gives the number of entries computed.
 
         An entry depends on bytes and entries at most the longest token back,
         so once that many in a row beyond the edit are as before, all are."""
-        old, beyond = self.last, start + len(new)
-        self.data = self.data[:start] + new + self.data[stop:]
-        self.last = old[:start] + [-1] * (len(self.data) - start)
+        old, beyond, shift = self.last, start + len(new), stop - start - len(new)
+        self.data, self.last = self.data[:start] + new + self.data[stop:], old[:start]
         same = 0
-        for at in range(max(0, start - self.v.longest + 1), len(self.data)):
-            if at > beyond:  # the entry of the prefix up to here is final
-                same = same + 1 if self.last[at - 1] == old[at - 1 - len(new) + stop - start] else 0
+        for end in range(start + 1, len(self.data) + 1):
+            self._enter(end)
+            if end > beyond:
+                same = same + 1 if self.last[-1] == old[end - 1 + shift] else 0
                 if same >= self.v.longest:
-                    self.last[at:] = old[at - len(new) + stop - start:]
-                    return at - start
-            self._from((at,), start)
+                    self.last += old[end + shift:]
+                    return end - start
         return len(self.data) - start
 
     def ids(self) -> list[int]:
@@ -160,6 +158,7 @@ class Encoder:
                                    .replace(r"\S", r"\P{White_Space}")).findall
         self.v = Vocabulary(ranks, made_of)
         self.memo = Memo(self.piece)
+        self.known: dict[bytes, int] = {}
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.split(text) for i in Prefixes(self.v, p.encode()).ids()]
@@ -172,9 +171,27 @@ class Encoder:
         data = p.encode()
         whole = self.v.ranks.get(data)
         # a valid token that is the whole piece is its one last token
-        ids = [whole] if whole is not None and self.v.valid(-1, whole) else Prefixes(self.v, data).ids()
+        ids = [whole] if whole is not None and self.v.valid(-1, whole) else self.prefixes(data).ids()
         return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
+    def prefixes(self, data: bytes) -> Prefixes:
+        """The entries of a piece, from the longest of its prefixes that another piece had, too."""
+        known, last = self.known, []
+        if len(data) > 64:
+            return Prefixes(self.v, data)
+        if len(known) > 4 * MEMO:
+            known.clear()
+        for end in range(1, len(data) + 1):
+            t = known.get(data[:end])
+            if t is None:
+                break
+            last.append(t)
+        done = len(last)
+        found = Prefixes(self.v, data, last)
+        for end in range(done + 1, len(data) + 1):
+            known[data[:end]] = last[end - 1]
+        return found
+
     def digest(self, text: str) -> tuple[int, str, str]:
         n, ids, data = zip(*map(self.memo.__getitem__, self.split(text)), strict=True) if text else ((), (), ())
         return (sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest())
