@@ -2,8 +2,9 @@
 
 A ``Package`` names its landing tables (CSV, declared schema from FIXTURES),
 the primary key used for the silver dedupe, a ``silver`` and a ``gold``
-function built only from strata operators, reporting views as SQL over the
-gold tables, and the stream configuration for the real-time queries.
+function built only from strata operators, reporting views (compositions of
+operators over the silver and gold tables; a few that join or total whole
+tables are SQL), and the stream configuration for the real-time queries.
 
 ``run_package`` wires the layers: bronze = CSV + provenance stamps, silver =
 latest row per key by ingestion time then the package's typing, filters and
@@ -20,7 +21,10 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strata.functions import pct
+from strata.operators.aggregates import kpi
 from strata.operators.quality import project
 from strata.operators.windows import latest_by
 from strata.sources import bronze_stamp, create_view, read_csv
@@ -99,6 +103,24 @@ def listing(table: str, names: str, where: Column | None = None, **made: Column)
     return view
 
 
+def grouped(table: str, keys: str, totals: str, **made: Column) -> Callable[[Tables], DataFrame]:
+    """A view that rolls a table up (A11) by ``keys``; ``totals`` names the columns to sum (both as
+    ``name`` or ``name=column``), ``made`` are further aggregates."""
+    def named(names: str) -> dict[str, str]:
+        return {n: c or n for n, _, c in (x.partition("=") for x in names.split())}
+
+    def view(t: Tables) -> DataFrame:
+        by = [F.col(c).alias(n) for n, c in named(keys).items()]
+        return kpi(t[table], by, {n: F.sum(c) for n, c in named(totals).items()} | made)
+
+    return view
+
+
+def mean_of_means(c: str, weight: str, digits: int = 2) -> Column:
+    """The mean over all rows behind a rollup, from each group's mean and row count."""
+    return pct(F.sum(F.col(c) * F.col(weight)), F.sum(weight), digits, scale=1.0)
+
+
 def stream_queries(pkg: Package, df: DataFrame, k: int = 20) -> Tables:
     """The package's real-time queries (T3–T8) from its stream configuration,
     on a batch or streaming ``df`` of the configured table."""
