@@ -13,8 +13,9 @@ with the latest earlier turns that fit both ``history`` and what is left of
 the room; loss spans cover the window's own assistant texts only, so each is
 a target once.
 
-Every step after the running sum is keyed by (conversation, cell): a
-conversation with a third of all turns is spread over its cells.
+Running sums are taken in ranges of (conversation, turn) with the totals of
+the ranges before, and every later step is keyed by (conversation, cell): a
+conversation with a third of all turns is spread over its ranges and cells.
 
 Defined results: turns are ordered by turn, then role, then text (nulls
 first, repeated rows kept); a null role or text is empty; a null conv_id is a
@@ -27,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.llm.common import Scratch
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 TOKEN_CHARS = 4  # a turn has its formatted length over this, rounded up, as tokens
 
@@ -40,25 +43,53 @@ def unescape(c: Column) -> Column:
                      F.lit("\\0"), F.lit("\\"))
 
 
+def placed(turns: DataFrame) -> DataFrame:
+    """Turns with nr (their place in the conversation), system, tokens, end
+    (tokens up to and with the turn, the system turn aside), sys (the system
+    turn's tokens) and their formatted parts.
+
+    Turns are dealt in ranges of (conv_id, turn, role, text), so a hot
+    conversation is many ranges; each range counts by itself, and the totals
+    of a conversation's earlier ranges (a row a range) are added."""
+    spark = turns.sparkSession
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    order = ["turn", "role", "text"]
+    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    # written once: a range drawn anew in a second pass could have other ends
+    t = Scratch(spark, "chat").keep(
+        t.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", *order)
+        .withColumn("range", F.spark_partition_id()))
+    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\2")), F.lit("\n"))
+    t = t.withColumns({"head": head, "body": escape(F.col("text"))})
+    t = t.withColumn("tokens", F.ceil((F.length("head") + F.length("body") + len(END)) / TOKEN_CHARS).cast("long"))
+
+    ranges = t.groupBy("conv_id", "range").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("sum"),
+        F.min_by(F.struct("role", "tokens"), F.struct(*order)).alias("first"))
+    ahead = Window.partitionBy("conv_id").orderBy("range")
+    earlier = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    opening = F.first("first").over(ahead)
+    ranges = ranges.select(
+        F.col("conv_id").alias("r_conv"), F.col("range").alias("r_range"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
+        F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("sum_before"),
+        F.when(opening["role"] == "system", opening["tokens"]).otherwise(F.lit(0).cast("long")).alias("sys"))
+
+    own = Window.partitionBy("conv_id", "range").orderBy(*order)
+    t = t.withColumns({"nr": F.row_number().over(own).cast("long"),
+                       "end": F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    t = t.join(ranges, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("range") == F.col("r_range")))
+    nr = F.col("nr") + F.col("n_before")
+    return t.select("conv_id", "range", nr.alias("nr"), "role", "head", "body", "tokens",
+                    ((nr == 1) & (F.col("role") == "system")).alias("system"),
+                    (F.col("end") + F.col("sum_before") - F.col("sys")).alias("end"), "sys")
+
+
 def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
     """One row per window: conv_id, cell, part (order within a conversation),
     n_context (leading turns that other windows own), n_tokens, text,
     loss (array of start and end, code points of text, end exclusive)."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit("\\2")), F.lit("\n"))
-    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"),
-                     head.alias("head"), escape(text).alias("body"))
-    t = t.withColumn("tokens", F.ceil((F.length("head") + F.length("body") + len(END)) / TOKEN_CHARS).cast("long"))
-
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = t.withColumn("nr", F.row_number().over(order))
-    system = (F.col("nr") == 1) & (F.col("role") == "system")
-    t = t.select("conv_id", "nr", "role", "head", "body", "tokens", system.alias("system"))
-    order = Window.partitionBy("conv_id").orderBy("nr")
-    paid = F.when(F.col("system"), 0).otherwise(F.col("tokens"))
-    t = t.withColumns({"end": F.sum(paid).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-                       "sys": F.first(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(
-                           order.rowsBetween(Window.unboundedPreceding, 0))})
+    t = placed(turns)
     room = F.greatest(budget - F.col("sys"), F.lit(2 * history), F.lit(2).cast("long"))
     step = room - history
     start = F.col("end") - F.when(F.col("system"), 0).otherwise(F.col("tokens"))

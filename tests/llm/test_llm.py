@@ -465,6 +465,30 @@ def test_chat_windows(spark):
     assert chat_windows(df.limit(0)).collect() == []
 
 
+def test_chat_hot_conversation_is_many_ranges(spark):
+    """Half of all turns in one conversation lie in several ranges; sums run on over them.
+    Columns whose names clash with those used inside, repeated and null turns."""
+    from strata.llm.chat import START, chat_digests, chat_windows, placed
+
+    hot = [(7, i, "system" if i == 0 else ("user", "assistant")[i % 2], f"turn {i} " + "x" * (i * 37 % 90)) for i in range(600)]
+    hot += [(7, 300, "user", None)] * 2
+    rest = [(c, i or None, "user", f"{c} {i}") for c in (None, *range(20, 39)) for i in range(30)]
+    df = spark.createDataFrame(hot + rest, "conv_id long, turn long, role string, text string")
+    for c in ("range", "nr", "end", "sys", "cell", "part", "n", "sum", "first", "tokens", "r_conv", "t"):
+        df = df.withColumn(c, F.lit(1))
+    got = sorted(placed(df).where("conv_id = 7").collect(), key=lambda r: r["nr"])
+    sizes = collections.Counter(r["range"] for r in got)
+    assert len(sizes) > 1 and max(sizes.values()) < 450
+    want = sorted((i, r, x or "") for _, i, r, x in hot)
+    tokens = [-(-len(f"{START}{r}\n{x}<|im_end|>\n") // 4) for _, r, x in want]
+    assert [(r["nr"], r["role"], r["body"], r["system"], r["sys"], r["end"]) for r in got] == [
+        (n + 1, r, x, n == 0, tokens[0], sum(tokens[1:n + 1])) for n, (_, r, x) in enumerate(want)]
+    digests = {r["conv_id"]: r for r in chat_digests(chat_windows(df, budget=200, history=40)).collect()}
+    said = "".join(f"{r}\n{x}\n" for _, r, x in want)
+    assert (digests[7]["n_turns"], digests[7]["turns_sha256"]) == (602, hashlib.sha256(said.encode()).hexdigest())
+    assert len(digests) == 21 and digests[None]["n_turns"] == 30
+
+
 def test_pii_surrogates_stay_distinct_and_consistent(spark):
     from strata.llm.pii import _luhn, pii_surrogates
 
