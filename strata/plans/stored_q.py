@@ -13,7 +13,7 @@ from strata.session import checkpoint_dir
 from strata.sources.buckets import SKEW_BYTES, bucketed_once
 from strata.sources.versions import version_of
 
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 16 << 20  # a bucket is sorted by one task, where its rows take 10 to 20 times their stored bytes
 
 
 def bucket_count(spark: SparkSession, paths: list[str], most: int = 1 << 15) -> int:

@@ -36,12 +36,14 @@ def write_bucketed(df: DataFrame, at: str, keys: Sequence[str], buckets: int, sk
     total = sum(sizes.values())
     mean = max(total / buckets, 1)
     parts = {b: -(-n // int(mean)) for b, n in sizes.items() if n > skew_factor * mean}
-    salts = F.lit(1)
+    # a task for each bucket (hashed bucket numbers would put several into one), and more for the large ones
+    task, tasks = bucket, buckets
     for b, n in parts.items():  # fewer than buckets / skew_factor
-        salts = F.when(bucket == b, F.lit(n)).otherwise(salts)
-    salt = F.pmod(F.xxhash64(*df.columns), salts)
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(n))
+        task = F.when((bucket == b) & (salt > 0), salt + F.lit(tasks - 1)).otherwise(task)
+        tasks += n - 1
     name = f"strata_writing_{at.rsplit('/', 1)[-1]}"
-    (rows.repartition(buckets + sum(parts.values()), bucket, salt).write.bucketBy(buckets, *keys).sortBy(*keys)
+    (rows.repartitionById(tasks, task.cast("int")).write.bucketBy(buckets, *keys).sortBy(*keys)
      .option("path", f"{at}/table").saveAsTable(name))
     spark.sql(f"DROP TABLE {name}")  # the files of a table with a path of its own stay
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/table")

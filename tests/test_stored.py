@@ -131,3 +131,10 @@ def test_bucketed_empty_table_and_null_keys(spark):
     assert none.collect() == [] and none.columns == ["k", "v"]
     odd = spark.createDataFrame([(None, "a"), (None, "b"), (1, None), (1, None)], "k int, v string")
     assert rows(bucketed_once(spark, "odd", "v", lambda: odd, ["k"], 8, base)) == rows(odd)
+
+
+def test_each_bucket_is_written_by_a_task_of_its_own(spark):
+    base = f"{checkpoint_dir(spark)}/own-{uuid.uuid4().hex}"
+    got = bucketed_once(spark, "own", "v", lambda: spark.range(4000).toDF("k"), ["k"], 32, base)
+    tasks = [f.rsplit("/", 1)[-1].split("-")[1] for f in got.inputFiles()]
+    assert len(tasks) == len(set(tasks)) == 32  # file names begin with the number of the task
