@@ -16,7 +16,7 @@ first one's work.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +41,13 @@ def _point(spark: SparkSession, name: str, folders: Sequence[str]) -> None:
               f"AS SELECT * FROM parquet.`{folders[0]}`")
 
 
-def publish(df: DataFrame, name: str, base: str, partition_by: Sequence[str] = (), started_from: str | None = "") -> str:
+def publish(df: DataFrame, name: str, base: str, partition_by: Sequence[str] = (), started_from: str | None = "",
+            write: Callable[[str], None] | None = None) -> str:
     """Full refresh of ``name``; gives the new folder.
 
     ``started_from`` is the version that ``df`` was made from (None: not yet
-    published); by default the one current when the write begins."""
+    published); by default the one current when the write begins.
+    ``write`` writes ``df`` to the folder that it is given."""
     spark = df.sparkSession
     before = versions(spark, name)
     if started_from == "":
@@ -54,7 +56,7 @@ def publish(df: DataFrame, name: str, base: str, partition_by: Sequence[str] = (
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(folder)
+    (write or w.parquet)(folder)
     now = versions(spark, name)
     if (now[0] if now else None) != started_from:
         _delete(spark, folder)
@@ -66,11 +68,11 @@ def publish(df: DataFrame, name: str, base: str, partition_by: Sequence[str] = (
 def compact_published(spark: SparkSession, name: str, base: str, sort_cols: Sequence[str] = (),
                       file_bytes: int = 512 << 20) -> str:
     """Rewrite the current version into files of about ``file_bytes`` and switch to it."""
-    from strata.sources import sized_files
+    from strata.sources import write_sized
 
     current = versions(spark, name)[0]
     df = spark.read.parquet(current)
-    return publish(sized_files(df, sort_cols, file_bytes), name, base, started_from=current)
+    return publish(df, name, base, started_from=current, write=lambda folder: write_sized(df, folder, sort_cols, file_bytes))
 
 
 def rollback(spark: SparkSession, name: str) -> str:

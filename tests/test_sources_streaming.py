@@ -147,3 +147,27 @@ def test_compaction_is_sized_by_bytes(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     out = SRC.compact(df, os.path.join(_tmp(), "c"), sort_cols=["o_orderdate"], file_bytes=SRC.stored_bytes(df) // 3)
     assert len(out.inputFiles()) in (3, 4) and out.count() == df.count()
+
+
+def test_compaction_sorts_small_runs_and_writes_whole_files(spark, monkeypatch):
+    """One value fills a third of the rows: it too is sorted in several runs."""
+    p = os.path.join(_tmp(), "in")
+    k = F.when(F.col("id") % 3 == 0, F.lit(50)).when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id") * 7919 % 101)
+    spark.range(60000).select(k.alias("k"), "id", F.sha2(F.col("id").cast("string"), 256).alias("s")).repartition(5).write.parquet(p)
+    df = spark.read.parquet(p)
+    sorted_in, plain = [], SRC.sorted_runs
+    monkeypatch.setattr(SRC, "sorted_runs", lambda *a: sorted_in.append(plain(*a)) or sorted_in[-1])
+    monkeypatch.setattr(SRC, "FILES_AT_ONCE", 2)
+    at = os.path.join(_tmp(), "out")
+    SRC.write_sized(df, at, ["k"], target_files=3, run_bytes=SRC.stored_bytes(df) // 24)
+    out = spark.read.parquet(at)
+    assert rows(out) == rows(df) and len(out.inputFiles()) == 3
+    task_rows = [r["n"] for r in sorted_in[0].groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(task_rows) < 60000 / 8  # a file has 20000
+    ranges = []
+    for f in out.inputFiles():
+        keys = [r["k"] for r in spark.read.parquet(f).coalesce(1).select("k").collect()]
+        assert keys == sorted(keys, key=lambda x: (x is not None, x))
+        ranges.append([(x is not None, x or 0) for x in (keys[0], keys[-1])])
+    ranges.sort()
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
