@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+KEY_BYTES, ROW_BYTES = 4 << 20, 32 << 20  # stored bytes of the one side and of the many side for a task
+
+
 @dataclass(frozen=True)
 class Relation:
     many: str
@@ -37,16 +40,23 @@ class Model:
     def check(self) -> DataFrame:
         """relation, repeated_keys and null_keys of the one side, and orphans
         (many-side keys without a row there); a sound relation has none of the first two."""
+        from strata.sources import input_bytes
+
         out = None
         for r in self.relations:
-            keys = self.tables[r.one].groupBy(F.col(r.one_key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-            used = self.tables[r.many].select(F.col(r.many_key).alias("k")).where("k IS NOT NULL").distinct()
-            for part in (keys.select((F.col("k").isNotNull() & (F.col("n") > 1)).cast("long").alias("repeated_keys"),
-                                     F.when(F.col("k").isNull(), F.col("n")).otherwise(0).alias("null_keys"), F.lit(0).cast("long").alias("orphans")),
-                         used.join(keys, "k", "left_anti").select(F.lit(0).cast("long").alias("repeated_keys"),
-                                                                  F.lit(0).cast("long").alias("null_keys"), F.lit(1).cast("long").alias("orphans"))):
-                part = part.withColumn("relation", F.lit(f"{r.many}.{r.many_key} -> {r.one}.{r.one_key}"))
-                out = part if out is None else out.unionByName(part)
+            # one sum by key instead of an anti join, below which all rows of the many side would be sorted; in as many
+            # tasks as the keys need, because small shuffled keys would be put together to a few tasks of many rows
+            k = self.tables[r.one].select(F.col(r.one_key).alias("k"), F.lit(1).cast("long").alias("n")).unionAll(
+                self.tables[r.many].select(F.col(r.many_key).alias("k"), F.lit(0).cast("long").alias("n")).where("k IS NOT NULL"))
+            size = input_bytes(self.tables[r.one])
+            tasks = -(-size // KEY_BYTES) + input_bytes(self.tables[r.many]) // ROW_BYTES
+            keys = (k.repartition(tasks, "k") if size > KEY_BYTES else k).groupBy("k").agg(F.sum("n").alias("n"))
+            null = F.col("k").isNull()
+            part = keys.select((~null & (F.col("n") > 1)).cast("long").alias("repeated_keys"),
+                               F.when(null, F.col("n")).otherwise(0).alias("null_keys"),
+                               (~null & (F.col("n") == 0)).cast("long").alias("orphans"),
+                               F.lit(f"{r.many}.{r.many_key} -> {r.one}.{r.one_key}").alias("relation"))
+            out = part if out is None else out.unionByName(part)
         return out.groupBy("relation").agg(*[F.sum(c).alias(c) for c in ("repeated_keys", "null_keys", "orphans")])
 
     def _steps(self, table: str, filtering: bool):

@@ -86,3 +86,21 @@ def test_totals_beyond_a_long_and_a_double(spark):
     assert auto_measures(df).first().asDict() == {"row_count": 4, "total_big": 36 * 10 ** 18, "total_one": 4}
     units = spark.createDataFrame([("a", 2 ** 53), ("b", 1), ("c", 1), ("d", 1), ("e", 1), ("f", 2)], "k string, u long")
     assert top_share(units, "k", "u", 1).first().total_value == float(2 ** 53 + 6)
+
+
+def test_check_deals_keys_by_the_size_of_the_one_side(spark, monkeypatch, tmp_path):
+    """Small shuffled keys are not put together into few tasks; rows are those of the plain plan."""
+    from strata.operators import model as M
+
+    one = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.col("id") % 4000).alias("k"))
+    many = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("f"))
+    one.write.parquet(f"{tmp_path}/one a")
+    many.write.parquet(f"{tmp_path}/many")
+    m = M.Model({"one": spark.read.parquet(f"{tmp_path}/one a"), "many": spark.read.parquet(f"{tmp_path}/many")},
+                [M.Relation("many", "f", "one", "k")])
+    plain = sorted(map(tuple, m.check().collect()))
+    monkeypatch.setattr(M, "KEY_BYTES", 2048)
+    check = m.check()
+    assert sorted(map(tuple, check.collect())) == plain and plain[0][1] > 0 and plain[0][2] == 100 and plain[0][3] > 0
+    plan = check._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan
