@@ -5,7 +5,8 @@ corpus (by doc_id, then place in its document) equals it or is one edit away
 (a character put in, left out or replaced).  Shorter lines stay.
 
 Equal lines first become one: hashes of 128 bits, counted with partial sums,
-give each line's first place.  Distinct lines are cut into two segments, one
+give each line's first place and carry its keys along; a text is moved only if
+its line shares a key.  Distinct lines are cut into two segments, one
 more than the edits; one edit leaves one segment as it is, and where it stands
 follows from the two lengths.  So each line is indexed under its segments by
 (segment, length) and looked up under those that a line shorter by one would
@@ -66,17 +67,26 @@ def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     ).where((F.length("text") >= min_chars) & F.col("text").rlike(r"\S"))
 
 
-def segment_keys(lines: DataFrame) -> DataFrame:
-    """key, d, line, indexed (else looked up) of the two segments."""
+def _segments() -> Column:
+    """Hashes of the two segments: as indexed, then as looked up."""
     t, n = F.col("text"), F.length("text")
 
-    def keys(n: Column, shift: int, indexed: bool):
+    def keys(n: Column, shift: int):
         half = F.floor(n / 2).cast("int")
-        return [F.struct(F.xxhash64(F.lit(i), n, part).alias("key"), F.lit(indexed).alias("indexed"))
-                for i, part in enumerate((_part(t, F.lit(0), half), _part(t, half + shift, n + shift)))]
+        return [F.xxhash64(F.lit(i), n, part) for i, part in enumerate((_part(t, F.lit(0), half), _part(t, half + shift, n + shift)))]
+
+    return F.array(*keys(n, 0), *keys(n - 1, 1))
+
 
-    rows = lines.select("d", "line", F.explode(F.array(*keys(n, 0, True), *keys(n - 1, 1, False))).alias("k"))
-    return rows.select("k.key", "k.indexed", "d", "line")
+def _segment_rows(lines: DataFrame) -> DataFrame:
+    """key, indexed, d, line of lines with their ``segments``."""
+    return lines.select("d", "line", F.posexplode("segments").alias("i", "key")).select(
+        "key", (F.col("i") < 2).alias("indexed"), "d", "line")
+
+
+def segment_keys(lines: DataFrame) -> DataFrame:
+    """key, d, line, indexed (else looked up) of the two segments."""
+    return _segment_rows(lines.select("d", "line", _segments().alias("segments")))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -117,8 +127,8 @@ def within_edits(a: Column, b: Column, edits: int = 1) -> Column:
     return F.when(F.abs(gap) > edits, F.lit(False)).otherwise(hit != 0)
 
 
-def word_halves(lines: DataFrame) -> DataFrame:
-    """key, d, line of the two halves in words, as segment_keys."""
+def _halves() -> Column:
+    """Hashes of the two halves in words, as _segments."""
     w = F.split("text", " ")
     n = F.size(w)
 
@@ -127,7 +137,7 @@ def word_halves(lines: DataFrame) -> DataFrame:
         return [F.xxhash64(F.lit(i), n, part) for i, part in enumerate((
             F.slice(w, F.lit(1), half), F.slice(w, half + 1 + shift, n - half)))]
 
-    return lines.select("d", "line", F.explode(F.array(*keys(n, 0), *keys(n - 1, 1))).alias("key"))
+    return F.array(*keys(n, 0), *keys(n - 1, 1))
 
 
 def _bind(value: Column, body) -> Column:
@@ -183,51 +193,56 @@ def _after_first(keyed: DataFrame) -> DataFrame:
     return keyed.join(first.where("n > 1"), ["before", "after"]).where(F.struct("d", "line") > F.col("at")).select("d", "line").distinct()
 
 
-def near_by_word(one: DataFrame, scratch: Scratch) -> DataFrame:
-    """d, line of the distinct lines that are one word away from an earlier one."""
-    halves = word_halves(one)
-    sizes = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    some = scratch.keep(halves.join(sizes, "key").select("d", "line").distinct())
-    keyed = scratch.keep(word_keys(one.join(some, ["d", "line"])))
-    near = scratch.keep(_after_first(keyed))
-    scratch.drop(some)
-    scratch.drop(keyed)
-    return near
+def _sharing(keyed: DataFrame) -> DataFrame:
+    """The rows whose key more than one row has, with that number n."""
+    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+
+
+def _near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """d, line of the later place of each pair that is at most one edit apart."""
+    a = texts.select(F.col("d").alias("ad"), F.col("line").alias("al"), F.col("text").alias("a_text"))
+    b = texts.select(F.col("d").alias("bd"), F.col("line").alias("bl"), F.col("text").alias("b_text"))
+    near = pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"]).where(within_edits(F.col("a_text"), F.col("b_text")))
+    a_later = (F.col("ad") > F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("al") > F.col("bl")))
+    return near.select(F.when(a_later, F.col("ad")).otherwise(F.col("bd")).alias("d"),
+                       F.when(a_later, F.col("al")).otherwise(F.col("bl")).alias("line"))
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
     """d, line of every line that goes."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = document_lines(docs, min_chars)
-    places = scratch.keep(lines.select("d", "line", F.xxhash64("text").alias("h1"),
-                                       F.xxhash64(F.lit("second"), "text").alias("h2")))
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("d", "line")).alias("at"))
-    first = scratch.keep(first.select("h1", "h2", F.col("at.d").alias("d"), F.col("at.line").alias("line")))
-    one = lines.join(first.select("d", "line"), ["d", "line"])  # the distinct lines; its exchange is used again below
-
-    keyed = segment_keys(one)
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keyed.join(sizes, "key")
-    rows = scratch.keep(rows)
-    crowded = rows.where(F.col("n") > BUCKET).select("d", "line").distinct()
-    pairs = _pairs(rows.where(F.col("n") <= BUCKET)).distinct()
-    a = one.select(F.col("d").alias("ad"), F.col("line").alias("al"), F.col("text").alias("a_text"))
-    b = one.select(F.col("d").alias("bd"), F.col("line").alias("bl"), F.col("text").alias("b_text"))
-    near = pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"]).where(within_edits(F.col("a_text"), F.col("b_text")))
-    a_later = (F.col("ad") > F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("al") > F.col("bl")))
-    near = near.select(F.when(a_later, F.col("ad")).otherwise(F.col("bd")).alias("d"),
-                       F.when(a_later, F.col("al")).otherwise(F.col("bl")).alias("line"))
-    near = scratch.keep(near.unionByName(_after_first(char_keys(one.join(crowded, ["d", "line"])))).distinct())
+    # hashes and keys of a line are made where its text is; the texts themselves move only where they are compared
+    hashes = {"segments": _segments()} | ({"halves": _halves()} if words else {})
+    places = scratch.keep(lines.select("d", "line", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"),
+                                       *[v.alias(k) for k, v in hashes.items()]))
+    first = places.groupBy("h1", "h2").agg(F.min(F.struct("d", "line", *hashes)).alias("at"))
+    first = scratch.keep(first.select("h1", "h2", "at.*"))  # the distinct lines
+
+    rows = scratch.keep(_sharing(_segment_rows(first)))
+    pairs = scratch.keep(_pairs(rows.where(F.col("n") <= BUCKET)).distinct())
+    of = lambda df, d, line, use: df.select(F.col(d).alias("d"), F.col(line).alias("line"), F.lit(use).alias("use"))
+    read = of(pairs, "ad", "al", 0).unionByName(of(pairs, "bd", "bl", 0)).unionByName(
+        of(rows.where(F.col("n") > BUCKET), "d", "line", 1))
+    if words:
+        read = read.unionByName(of(_sharing(first.select("d", "line", F.explode("halves").alias("key"))), "d", "line", 2))
+    read = scratch.keep(read.groupBy("d", "line").agg(F.max(F.col("use") == 1).alias("chars"), F.max(F.col("use") == 2).alias("words")))
     scratch.drop(rows)
+    texts = scratch.keep(lines.join(read.hint("merge"), ["d", "line"]))  # the same way at every size: read grows with the lines
+    scratch.drop(read)
+    near = _near_pairs(pairs, texts).unionByName(_after_first(char_keys(texts.where("chars"))))
     if words:
-        near = near.unionByName(near_by_word(one, scratch)).distinct()
-    near = scratch.keep(near.withColumn("near", F.lit(True)))
+        keyed = scratch.keep(word_keys(texts.where("words")))
+        near = near.unionByName(_after_first(keyed))
+    near = scratch.keep(near.distinct().withColumn("near", F.lit(True)))
+    for table in (pairs, texts, *([keyed] if words else [])):
+        scratch.drop(table)
 
     state = scratch.keep(first.join(near, ["d", "line"], "left").select(
         "h1", "h2", F.col("d").alias("fd"), F.col("line").alias("fl"), F.coalesce("near", F.lit(False)).alias("near")))
     scratch.drop(first)
     scratch.drop(near)
-    gone = places.join(state, ["h1", "h2"]).where(
+    gone = places.select("d", "line", "h1", "h2").join(state, ["h1", "h2"]).where(
         F.col("near") | (F.col("d") != F.col("fd")) | (F.col("line") != F.col("fl")))
     return gone.select("d", "line").distinct()
 

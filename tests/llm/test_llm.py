@@ -598,3 +598,15 @@ def test_line_dedup_pairs_grow_with_the_lines_of_a_middling_group(spark):
     texts = {t: i for i, t in made}
     assert got == {i for i, t in made if any(
         texts.get(t[:at] + c + t[at + 1:], i) < i for at in range(len(t)) for c in "0123456789")}
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_line_dedup_moves_texts_once(spark, monkeypatch, words):
+    """Keys are made where the lines are; one join alone brings texts to the lines that share a key."""
+    from strata.llm import line_dedup as L
+
+    kept, keep = [], L.Scratch.keep
+    monkeypatch.setattr(L.Scratch, "keep", lambda self, df: (kept.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(self, df))[1])
+    docs = [(i, f"the line of every one document, number {i % 7} of them\nand a second line that comes again in {i % 5}") for i in range(40)]
+    L.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), words=words)
+    assert kept and sum("Join" in p and "Generate posexplode(split(" in p for p in kept) == 1
