@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from strata.llm.common import map_rows, only
 
 MAX_VOCABULARY = 1_000_000  # the broadcast's bound; vocabularies are fixed files
-MEMO = 200_000  # pieces remembered by a task, and as many older ones
+MEMO = 50_000  # pieces remembered by a worker process, and as many older ones: some 100 MB that stay until it ends
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -610,3 +610,19 @@ def test_line_dedup_moves_texts_once(spark, monkeypatch, words):
     docs = [(i, f"the line of every one document, number {i % 7} of them\nand a second line that comes again in {i % 5}") for i in range(40)]
     L.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), words=words)
     assert kept and sum("Join" in p and "Generate posexplode(split(" in p for p in kept) == 1
+
+
+def test_encoder_remembers_a_bounded_number_of_pieces():
+    """A worker process keeps its encoder through the later steps, so what it remembers is small."""
+    from strata.llm.bpe import Encoder
+    from strata.llm.queries import tokenizer
+
+    e = Encoder(*tokenizer())
+    letters = [x + y for x in "bcdfghklmn" for y in "aeiouyrstx"]
+    text = " ".join(letters[i % 100] + letters[i // 100 % 100] + letters[i // 10_000] for i in range(110_000))
+    n, _, decoded = e.digest(text)
+    assert n > 110_000 and decoded == hashlib.sha256(text.encode()).hexdigest()
+    assert len(e.memo) + len(e.memo.older) <= 100_000 and len(e.known) <= 200_100 and len(e.v.pairs) <= 200_100
+    fresh = Encoder(*tokenizer())
+    for piece in text.split(" ")[::997]:  # forgotten or not, the same ids
+        assert e.digest(" " + piece) == fresh.digest(" " + piece)
