@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from strata.llm.common import map_rows, only
 
 MAX_VOCABULARY = 1_000_000  # the broadcast's bound; vocabularies are fixed files
-MEMO = 50_000  # pieces remembered by a worker process, and as many older ones: some 100 MB that stay until it ends
+MEMO = 200_000  # pieces remembered by a worker process, and as many older ones
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,7 +57,8 @@ def last_merges(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
 class Vocabulary:
     """Ranks by token, tokens by id, and which two tokens can be neighbours."""
 
-    def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]] | None = None):
+    def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]] | None = None, memo: int = MEMO):
+        self.memo = memo
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.made_of = last_merges(ranks) if made_of is None else made_of
         self.longest, self.beyond = max(map(len, ranks)), max(ranks.values()) + 1
@@ -69,7 +70,7 @@ class Vocabulary:
         """Whether token b after token a (-1: after nothing) stays as it is."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 4 * MEMO:
+            if len(self.pairs) > 4 * self.memo:
                 self.pairs.clear()
             ok = self.pairs[a, b] = self._made(b) and (a < 0 or self._apart(a, b))
         return ok
@@ -148,16 +149,16 @@ class Prefixes:
 
 
 class Encoder:
-    """Encodes and decodes whole texts; remembers short pieces."""
+    """Encodes and decodes whole texts; remembers up to ``memo`` short pieces and as many older ones."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, made_of: dict[int, tuple[int, int]] | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, made_of: dict[int, tuple[int, int]] | None = None, memo: int = MEMO):
         import regex
 
         # \s of the tokenizer is Unicode's white space
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
                                    .replace(r"\S", r"\P{White_Space}")).findall
-        self.v = Vocabulary(ranks, made_of)
-        self.memo = Memo(self.piece)
+        self.v = Vocabulary(ranks, made_of, memo)
+        self.memo = Memo(self.piece, memo)
         self.known: dict[bytes, int] = {}
 
     def encode(self, text: str) -> list[int]:
@@ -179,7 +180,7 @@ class Encoder:
         known, last = self.known, []
         if len(data) > 64:
             return Prefixes(self.v, data)
-        if len(known) > 4 * MEMO:
+        if len(known) > 4 * self.v.memo:
             known.clear()
         for end in range(1, len(data) + 1):
             t = known.get(data[:end])
@@ -198,22 +199,22 @@ class Encoder:
 
 
 class Memo(dict):
-    """Results by piece: up to MEMO recent ones and as many older ones."""
+    """Results by piece: up to ``most`` recent ones and as many older ones."""
 
-    def __init__(self, of):
-        self.of, self.older = of, {}
+    def __init__(self, of, most: int = MEMO):
+        self.of, self.most, self.older = of, most, {}
 
     def __missing__(self, p: str):
         got = self.older.get(p) or self.of(p)
         if len(p) <= 64:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[p] = got
         return got
 
 
-def _shared(df: DataFrame, ranks: dict[bytes, int], pattern: str):
+def _shared(df: DataFrame, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
     """One encoder a worker process, with the pieces that it knows: this
     function's globals are sent anew with each task, ``sys`` stays."""
     sent, key = df.sparkSession.sparkContext.broadcast((ranks, last_merges(ranks))), uuid.uuid4().hex
@@ -222,7 +223,7 @@ def _shared(df: DataFrame, ranks: dict[bytes, int], pattern: str):
         held = vars(sys).setdefault("_strata_encoder", {})
         if key not in held:
             held.clear()  # of an earlier query
-            held[key] = Encoder(sent.value[0], pattern, sent.value[1])
+            held[key] = Encoder(sent.value[0], pattern, sent.value[1], memo)
         return held[key]
 
     return encoder
@@ -242,9 +243,12 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], pattern: str)
         "doc_id": b["doc_id"], "data": [encoder().decode(x or []) for x in b["ids"]]}, "doc_id long, data binary")
 
 
-def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (a round trip by row)."""
-    encoder = _shared(docs, ranks, pattern)
+def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, memo: int = MEMO) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (a round trip by row).
+
+    Workers keep their encoder; a smaller ``memo`` leaves more memory to the steps
+    that follow in the same executors, and takes more time."""
+    encoder = _shared(docs, ranks, pattern, memo)
 
     def run(b):
         e = encoder()

@@ -614,10 +614,12 @@ def test_line_dedup_moves_texts_once(spark, monkeypatch, words):
 
 def test_encoder_remembers_a_bounded_number_of_pieces():
     """A worker process keeps its encoder through the later steps, so what it remembers is small."""
+    import corpus_pipeline as P
     from strata.llm.bpe import Encoder
     from strata.llm.queries import tokenizer
 
-    e = Encoder(*tokenizer())
+    assert P.MEMO <= 50_000
+    e = Encoder(*tokenizer(), memo=P.MEMO)
     letters = [x + y for x in "bcdfghklmn" for y in "aeiouyrstx"]
     text = " ".join(letters[i % 100] + letters[i // 100 % 100] + letters[i // 10_000] for i in range(110_000))
     n, _, decoded = e.digest(text)
