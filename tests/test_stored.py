@@ -138,3 +138,57 @@ def test_each_bucket_is_written_by_a_task_of_its_own(spark):
     got = bucketed_once(spark, "own", "v", lambda: spark.range(4000).toDF("k"), ["k"], 32, base)
     tasks = [f.rsplit("/", 1)[-1].split("-")[1] for f in got.inputFiles()]
     assert len(tasks) == len(set(tasks)) == 32  # file names begin with the number of the task
+
+
+def test_training_rows_are_written_once(spark, tmp_path):
+    """Every pass of a fit reads the written rows, evenly dealt, not the plan that made them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = _flagged(spark).coalesce(1)
+    schema, before = df.schema, sorted(rows(df))
+    df = df.mapInArrow(count, schema)
+    train = ml.training_rows(df)
+    assert sorted(rows(train)) == before and seen.value == 400
+    ml.train_rf(train, "y", ["x"], ["g"], trees=3, max_depth=3)
+    ml.train_gbt(train, "y", ["x"], ["g"], max_iter=2, max_depth=2)
+    assert seen.value == 400
+    assert train.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_return_models_train_on_written_rows(spark, monkeypatch, tmp_path):
+    """Both models and their metrics read the same written feature rows, written once and only to train."""
+    from strata.plans import ml_q
+
+    made, fitted = [], []
+    real = ml.training_rows
+    monkeypatch.setattr(ml, "training_rows", lambda df: made.append(real(df)) or made[-1])
+    monkeypatch.setattr(ml_q, "RF", {"trees": 2, "max_depth": 2})
+    monkeypatch.setattr(ml_q, "GBT", {"max_iter": 2, "max_depth": 2, "step": 0.07})
+    for name in ("train_rf", "train_gbt"):
+        fit = getattr(ml, name)
+        monkeypatch.setattr(ml, name, lambda t, *a, _f=fit, **k: fitted.append(set(t.inputFiles())) or _f(t, *a, **k))
+    data = f"{tmp_path}/data"
+    for t in ("orders", "lineitem", "customer", "nation"):
+        spark.read.parquet(f"{SMOKE}/{t}.parquet").limit(600).write.parquet(f"{data}/{t}.parquet")
+    assert ml_q.ml_model_metrics(spark, data).count() == 2
+    assert len(made) == 1 and fitted == [set(made[0].inputFiles())] * 2
+    assert sorted(rows(made[0].drop("is_train"))) == sorted(rows(ml_q.ml_order_features(spark, data)))
+    ml_q.ml_model_metrics(spark, data)
+    assert len(made) == 1 and len(fitted) == 2
+
+
+def test_forest_with_kept_node_ids_is_the_same_forest(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df = _flagged(spark).repartition(3, "id").cache()
+    ours = ml.train_rf(df, "y", ["x"], ["g"], trees=7, max_depth=6).stages[-1]
+    assert ours.getCacheNodeIds()
+    plain = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=7, maxDepth=6, seed=42, maxBins=64)
+    other = ml._pipeline(["x"], ["g"], plain).fit(df).stages[-1]
+    assert ours.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
+    df.unpersist()
