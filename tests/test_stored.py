@@ -140,8 +140,8 @@ def test_each_bucket_is_written_by_a_task_of_its_own(spark):
     assert len(tasks) == len(set(tasks)) == 32  # file names begin with the number of the task
 
 
-def test_training_rows_are_written_once(spark, tmp_path):
-    """Every pass of a fit reads the written rows, evenly dealt, not the plan that made them."""
+def test_kept_rows_are_computed_once(spark):
+    """Every pass of two fits reads the kept rows, not the plan that made them; afterwards they are let go."""
     seen = spark.sparkContext.accumulator(0)
 
     def count(batches):
@@ -149,37 +149,33 @@ def test_training_rows_are_written_once(spark, tmp_path):
             seen.add(b.num_rows)
             yield b
 
-    df = _flagged(spark).coalesce(1)
-    schema, before = df.schema, sorted(rows(df))
-    df = df.mapInArrow(count, schema)
-    train = ml.training_rows(df)
-    assert sorted(rows(train)) == before and seen.value == 400
-    ml.train_rf(train, "y", ["x"], ["g"], trees=3, max_depth=3)
-    ml.train_gbt(train, "y", ["x"], ["g"], max_iter=2, max_depth=2)
-    assert seen.value == 400
-    assert train.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    df = _flagged(spark)
+    df = df.mapInArrow(count, df.schema)
+    with ml.kept(df):
+        ml.train_rf(df, "y", ["x"], ["g"], trees=3, max_depth=3)
+        ml.train_gbt(df, "y", ["x"], ["g"], max_iter=2, max_depth=2)
+        assert seen.value == 400
+    assert not df.storageLevel.useMemory and not df.storageLevel.useDisk
 
 
-def test_return_models_train_on_written_rows(spark, monkeypatch, tmp_path):
-    """Both models and their metrics read the same written feature rows, written once and only to train."""
+@pytest.mark.parametrize("query", ["ml_model_metrics"])
+def test_models_train_on_kept_rows(spark, monkeypatch, tmp_path, query):
+    """Both models of a query train on rows that are kept until then, and a stored run keeps none."""
     from strata.plans import ml_q
 
-    made, fitted = [], []
-    real = ml.training_rows
-    monkeypatch.setattr(ml, "training_rows", lambda df: made.append(real(df)) or made[-1])
-    monkeypatch.setattr(ml_q, "RF", {"trees": 2, "max_depth": 2})
-    monkeypatch.setattr(ml_q, "GBT", {"max_iter": 2, "max_depth": 2, "step": 0.07})
-    for name in ("train_rf", "train_gbt"):
-        fit = getattr(ml, name)
-        monkeypatch.setattr(ml, name, lambda t, *a, _f=fit, **k: fitted.append(set(t.inputFiles())) or _f(t, *a, **k))
+    fitted = []
+    for name, small in (("train_rf", {"trees": 2, "max_depth": 2}), ("train_gbt", {"max_iter": 2, "max_depth": 2})):
+        def fit(t, *a, _f=getattr(ml, name), _s=small, **k):
+            fitted.append((t, t.storageLevel.useMemory))
+            return _f(t, *a, **{**k, **_s})
+        monkeypatch.setattr(ml, name, fit)
     data = f"{tmp_path}/data"
     for t in ("orders", "lineitem", "customer", "nation"):
         spark.read.parquet(f"{SMOKE}/{t}.parquet").limit(600).write.parquet(f"{data}/{t}.parquet")
-    assert ml_q.ml_model_metrics(spark, data).count() == 2
-    assert len(made) == 1 and fitted == [set(made[0].inputFiles())] * 2
-    assert sorted(rows(made[0].drop("is_train"))) == sorted(rows(ml_q.ml_order_features(spark, data)))
-    ml_q.ml_model_metrics(spark, data)
-    assert len(made) == 1 and len(fitted) == 2
+    for _ in range(2):  # the second time from the stored models
+        getattr(ml_q, query)(spark, data).collect()
+        assert [kept for _, kept in fitted] == [True, True]
+        assert not any(t.storageLevel.useMemory for t, _ in fitted)
 
 
 def test_forest_with_kept_node_ids_is_the_same_forest(spark):
