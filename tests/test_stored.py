@@ -158,7 +158,7 @@ def test_kept_rows_are_computed_once(spark):
     assert not df.storageLevel.useMemory and not df.storageLevel.useDisk
 
 
-@pytest.mark.parametrize("query", ["ml_model_metrics"])
+@pytest.mark.parametrize("query", ["ml_model_metrics", "ml_demand_regression"])
 def test_models_train_on_kept_rows(spark, monkeypatch, tmp_path, query):
     """Both models of a query train on rows that are kept until then, and a stored run keeps none."""
     from strata.plans import ml_q
