@@ -79,3 +79,58 @@ def test_expensive_fork_inputs_are_computed_once(spark, name):
     df.collect()
     p = _plan(df)
     assert "SortAggregate" not in p and "lineitem.parquet" not in p
+
+
+@pytest.mark.parametrize("name", ["weekly_region_trend", "daily_sales_summary"])
+def test_orders_are_counted_in_as_many_tasks_as_lineitem_needs(spark, tmp_path, monkeypatch, name):
+    """Half of the lines on one order, orders and customers twice, null keys: the hot order is split where lines are
+    joined, orders are counted in tasks that grow with the files, and the rows are DuckDB's."""
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from strata.plans import sales
+    from tests.helpers import canon, rows
+
+    i = F.col("id")
+    made = {
+        "lineitem": spark.range(60_000, numPartitions=4).selectExpr(
+            "CASE WHEN id % 2 = 0 THEN 7 WHEN id % 97 <> 1 THEN id % 5000 END AS l_orderkey", "id % 40 AS l_partkey", "id % 9 AS l_suppkey",
+            "int(id % 40000) AS l_linenumber", "double(id % 50) AS l_quantity", "double(id % 1013) AS l_extendedprice",
+            "(id % 11) / 100D AS l_discount", "(id % 9) / 100D AS l_tax", "string(id % 3) AS l_returnflag", "string(id % 2) AS l_linestatus",
+            "timestamp_seconds(1500000000 + id % 700 * 86400) AS l_shipdate"),
+        "orders": spark.range(4800).union(spark.range(5, 30)).select(
+            i.alias("o_orderkey"), F.when(i % 13 > 0, i % 301).alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+            F.lit(1.5).alias("o_totalprice"), F.timestamp_seconds(F.lit(1500000000)).alias("o_orderdate"), F.lit("LOW").alias("o_orderpriority")),
+        "customer": spark.range(290).union(spark.range(5, 9)).select(
+            i.alias("c_custkey"), F.lit("x").alias("c_name"), (i % 5).cast("int").alias("c_nationkey"), F.lit(0.5).alias("c_acctbal"),
+            F.when(i % 3 > 0, (i % 3).cast("string")).alias("c_mktsegment")),
+        "nation": spark.range(4).select(i.cast("int").alias("n_nationkey"), F.concat(F.lit("n"), "id").alias("n_name"), (i % 3).cast("int").alias("n_regionkey")),
+        "region": spark.range(2).select(i.cast("int").alias("r_regionkey"), F.concat(F.lit("r"), "id").alias("r_name")),
+    }
+    con = duckdb.connect()
+    for t, df in made.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    stored = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*.parquet"))
+    monkeypatch.setattr(sales, "ORDER_BYTES", 1 << 14, raising=False)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "16",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = E.queries()[name](spark, str(tmp_path))
+        got = rows(df)
+        dealt = [n.outputPartitioning().numPartitions() for n in _nodes(df._jdf.queryExecution().executedPlan())
+                 if n.nodeName() == "Exchange" and "REPARTITION_BY_NUM" in n.toString().split("\n")[0]]
+        final = _plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert dealt == [-(-stored // (1 << 14))] and dealt[0] > 16
+    assert "skew=true" in final
+    want = con.execute(E.oracle_sql()[name])
+    assert got == canon(want.fetchall(), [c[0] for c in want.description])
