@@ -1,6 +1,7 @@
 """Stored models, pointers and bucketed tables."""
 
 import os
+import re
 import subprocess
 import sys
 import uuid
@@ -188,3 +189,90 @@ def test_forest_with_kept_node_ids_is_the_same_forest(spark):
     other = ml._pipeline(["x"], ["g"], plain).fit(df).stages[-1]
     assert ours.toDebugString.split("\n", 1)[1] == other.toDebugString.split("\n", 1)[1]
     df.unpersist()
+
+
+# ------------------------------------------------------------------ trees on blocks of rows
+def _mixed(spark, n=1500):
+    """Rows with continuous, small and categorical features, nulls among the categories, in three partitions."""
+    df = spark.range(n).select(
+        "id", F.rand(1).alias("x"), F.floor(F.rand(5) * 50).alias("q"), F.floor(F.rand(11) * 7).alias("w"), F.lit(3.0).alias("same"),
+        F.when(F.rand(3) < 0.9, F.floor(F.rand(3) * 5).cast("string")).alias("g"), F.floor(F.rand(4) * 7).cast("string").alias("h"))
+    return df.withColumns({"y": ((F.col("x") + F.col("q") / 50 + F.rand(7)) > 1.4).cast("int"),
+                           "t": F.floor(F.col("q") * F.col("x") + F.rand(8) * 10).cast("double")}).repartition(3, "id").cache()
+
+
+MIXED = ["x", "q", "w", "same"], ["g", "h"]
+
+
+@pytest.mark.parametrize("kind, settings", [
+    ("RandomForestClassifier", {"numTrees": 37, "maxDepth": 7}),
+    ("RandomForestClassifier", {"numTrees": 6, "maxDepth": 9, "maxMemoryInMB": 1}),  # a level takes several passes
+    ("RandomForestClassifier", {"numTrees": 1, "maxDepth": 4}),
+    ("RandomForestClassifier", {"numTrees": 5, "maxDepth": 4, "bootstrap": False}),
+    ("RandomForestRegressor", {"numTrees": 33, "maxDepth": 6}),
+    ("GBTRegressor", {"maxIter": 4, "maxDepth": 5, "stepSize": 0.07}),
+    ("GBTClassifier", {"maxIter": 4, "maxDepth": 5, "stepSize": 0.07}),
+])
+def test_trees_on_blocks_are_spark_mls_trees(spark, monkeypatch, kind, settings):
+    """Whole models, node by node; with blocks of few rows."""
+    from pyspark.ml import classification, regression
+
+    from strata.operators import trees
+
+    monkeypatch.setattr(trees, "BLOCK", 200)
+    df = _mixed(spark)
+    label = "y" if kind.endswith("Classifier") else "t"
+    est = getattr(classification if label == "y" else regression, kind)(
+        labelCol=label, featuresCol="features", seed=42, maxBins=64, **settings)
+    plain = ml._pipeline(*MIXED, est).fit(df)
+    data = df
+    for stage in plain.stages[:-1]:
+        data = stage.transform(data)
+    assert trees._rules(est, data, 1, "all", kind.startswith("GBT"), label == "y") is not None
+    ours, spark_ml = trees.fit(est, data), plain.stages[-1]
+
+    def shape(model):  # numbers to 10 digits: sums of fractions depend on the order of rows
+        return re.sub(r"\d+\.\d+(E-?\d+)?", lambda m: f"{float(m[0]):.10g}", model.toDebugString.split("\n", 1)[1])
+
+    assert shape(ours) == shape(spark_ml)
+    assert ours.treeWeights == spark_ml.treeWeights
+    assert abs(ours.featureImportances.toArray() - spark_ml.featureImportances.toArray()).max() < 1e-9
+    a, b = (m.transform(data).select("id", "prediction").orderBy("id").toPandas() for m in (ours, spark_ml))
+    assert (abs(a.prediction - b.prediction) < 1e-9).all()
+    df.unpersist()
+
+
+@pytest.mark.parametrize("fit, spark_ml", [("train_rf", "RandomForestClassifier"), ("train_gbt", "GBTClassifier")])
+def test_training_walks_over_blocks(spark, monkeypatch, fit, spark_ml):
+    """Neither trainer goes over the rows in Spark ML's own way, one object and one node id per row and tree."""
+    from pyspark.ml import classification
+
+    def fail(self, *a):
+        raise AssertionError("trained row by row")
+
+    monkeypatch.setattr(getattr(classification, spark_ml), "_fit", fail)
+    small = {"trees": 3} if fit == "train_rf" else {"max_iter": 2}
+    df = _mixed(spark, 300)
+    model = getattr(ml, fit)(df, "y", *MIXED, max_depth=3, **small)
+    assert model.transform(df).filter("prediction in (0.0, 1.0)").count() == 300
+    df.unpersist()
+
+
+def test_several_classes_are_left_to_spark_ml(spark):
+    df = _mixed(spark, 300).withColumn("y", F.col("id") % 3)
+    model = ml.train_rf(df, "y", *MIXED, trees=3, max_depth=3)
+    assert model.stages[-1].numClasses == 3
+
+
+def test_demand_regression_scores_held_out_rows_once_for_its_aggregates(spark, monkeypatch, tmp_path):
+    from strata.plans import ml_q
+
+    for name, small in (("train_rf", {"trees": 2, "max_depth": 2}), ("train_gbt", {"max_iter": 2, "max_depth": 2})):
+        monkeypatch.setattr(ml, name, lambda t, *a, _f=getattr(ml, name), _s=small, **k: _f(t, *a, **{**k, **_s}))
+    spark.read.parquet(f"{SMOKE}/lineitem.parquet").limit(600).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = ml_q.ml_demand_regression(spark, str(tmp_path))
+    row = out.first()
+    assert row.high_demand_rows + row.low_demand_rows + row.stable_rows == row.n
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"UDF\(features#\d+\) AS prediction#\d+", plan))) <= 1
+    assert "Subquery" not in plan
